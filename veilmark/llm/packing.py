@@ -133,14 +133,17 @@ def _price(sizes: np.ndarray, duals: np.ndarray, capacity: int) -> tuple[float,
 def linear_program(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
     """(patterns as columns, their fractional counts) that cover the demand with the fewest sequences.
 
-    Stops when no pattern prices out, or when the Lagrangian bound proves the gap.
+    Stops when no pattern prices out, when the Lagrangian bound proves the gap or half a sequence, or after a number of
+    turns that grows with the histogram: any basis holds valid patterns, and the greedy rest fills what it leaves.
+    The demand is perturbed by less than a thousandth of a piece, which keeps degenerate bases from cycling.
     """
     m = len(sizes)
+    demand = demand + 1e-3 * (np.arange(m) * 0.6180339887 % 1)
     basis = np.diag(capacity // sizes).astype(float)
     cost = np.ones(m)
     inverse = np.diag(1.0 / (capacity // sizes))
     x = demand / (capacity // sizes)
-    for turn in range(20 * m + 50):
+    for turn in range(4 * m + 50):
         duals = cost @ inverse
         low = int(duals.argmin())
         if duals[low] < -1e-9:
@@ -148,7 +151,7 @@ def linear_program(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: fl
             column[low] = -1.0
         else:
             value, pattern = _price(sizes, np.maximum(duals, 0), capacity)
-            if value <= 1 + 1e-9 or cost @ x * (1 - 1 / value) <= gap * (cost @ x):
+            if value <= 1 + 1e-9 or cost @ x * (1 - 1 / value) <= max(0.5, gap * (cost @ x)):
                 break
             column, price = pattern.astype(float), 1.0
         step = inverse @ column
@@ -190,7 +193,7 @@ def plan_sequences(histogram: dict[int, int], capacity: int) -> list[tuple[int,
         for k in np.argsort(-counts, kind="stable"):
             pattern = patterns[:, k]
             used = pattern > 0
-            copies = min(int(counts[k] + 1e-7), int((left[used] // pattern[used]).min()) if used.any() else 0)
+            copies = min(int(counts[k] + 1e-2), int((left[used] // pattern[used]).min()) if used.any() else 0)
             if copies > 0:
                 seat(pattern, copies)
         while left.any():

@@ -73,7 +73,9 @@ def statistics(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     again = lambda s, k: (F.get("sorted", k + 1)["h"] == s["h"]) | ((k > 0) & (F.get("sorted", F.greatest(k - 1, F.lit(0)))["h"] == s["h"]))
     out = out.withColumn("marked", F.sort_array(F.transform(F.filter("sorted", lambda s, k: F.coalesce(again(s, k), F.lit(False))), lambda s: s["i"]))).drop("sorted")
     spans = F.transform("marked", lambda p, k: F.when(k == 0, F.lit(3)).otherwise(F.least(F.lit(3), p - F.get("marked", F.greatest(k - 1, F.lit(0))))))
-    return out.withColumn("n_repeat_words", F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x)).drop("marked")
+    out = out.withColumn("n_repeat_words", F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x)).drop("marked")
+    # A filter above must not be pushed into the projections, where each use would compute the arrays anew.
+    return out.select(F.inline(F.array(F.struct(*out.columns))))
 
 
 def verdict() -> Column:
