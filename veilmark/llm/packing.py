@@ -130,6 +130,20 @@ def _price(sizes: np.ndarray, duals: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), pattern
 
 
+def _inverted(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with row exchanges, free of threaded library calls in the driver."""
+    m = len(matrix)
+    work = np.hstack([matrix, np.eye(m)])
+    for k in range(m):
+        p = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, p]] = work[[p, k]]
+        work[k] /= work[k, k]
+        others = np.flatnonzero(work[:, k])
+        others = others[others != k]
+        work[others] -= work[others, k : k + 1] * work[k]
+    return work[:, m:]
+
+
 def linear_program(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
     """(patterns as columns, their fractional counts) that cover the demand with the fewest sequences.
 
@@ -166,7 +180,7 @@ def linear_program(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: fl
         inverse[out] = row
         basis[:, out], cost[out] = column, price
         if turn % 200 == 199:
-            inverse = np.linalg.inv(basis)
+            inverse = _inverted(basis)
             x = np.maximum(inverse @ demand, 0)
     real = cost > 0
     return basis[:, real].astype(np.int64), x[real]
