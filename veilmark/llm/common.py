@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -61,6 +62,7 @@ def arrow_map(df: DataFrame, rows: Callable[[dict], dict], schema: str, arrow: p
     """mapInArrow over dicts of lists: rows(columns) returns the output columns of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(1_000_000, 50, 1000)  # the workers' remembered words are no cycles, but are walked each time
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

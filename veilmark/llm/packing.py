@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, stage
 
-WORDS_KEPT = 500_000
+WORDS_KEPT = 800_000
 _LETTERS = "a-zªµºß-öø-ÿ"
 _NUMBERS = "0-9²³¹¼½¾"
 
@@ -59,24 +59,27 @@ class WordTokens:
         out: list[bytes] = [b""] * len(texts)
         at = 0
         while at < len(texts):
-            split, size = {}, 0
+            found, gaps, size = {}, [], 0
+            get = self.words.get
             while at < len(texts) and size < 1_000_000:
                 text = texts[at] or ""
                 if self.plain(text) and not any(s in text for s in self.special):
-                    split[at] = self.split(text.lower())
+                    words = self.split(text.lower())
+                    found[at] = ids = list(map(get, words))  # one look-up a word: the costly part
+                    if None in ids:
+                        gaps += [(ids, k, words[k]) for k, known in enumerate(ids) if known is None]
                 else:
                     out[at] = self._ask([text])[0]
                 size += len(text)
                 at += 1
-            known = self.words
-            new = list({w for x in split.values() for w in x if w not in known})
+            new = list({w for _, _, w in gaps})
             learnt = dict(zip(new, self._ask(new))) if new else {}
-            if len(known) < WORDS_KEPT:
-                known |= learnt
-                learnt = {}
-            get = known.get
-            for k, x in split.items():
-                out[k] = b"".join([get(w) or learnt[w] for w in x] if learnt else [known[w] for w in x])
+            for ids, k, w in gaps:
+                ids[k] = learnt[w]
+            if len(self.words) < WORDS_KEPT:
+                self.words |= learnt
+            for k, ids in found.items():
+                out[k] = b"".join(ids)
         return out
 
 
