@@ -39,7 +39,7 @@ class _WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < 200_000:
             self[word] = value
         return value
 
@@ -165,6 +165,15 @@ def _by_two_bands(active: DataFrame) -> DataFrame:
     return twos.join(twos.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key")
 
 
+def _heads(rows: DataFrame, slots: int) -> DataFrame:
+    """(key, heads) of the buckets whose members lie in several components: at most one member a slot, by hash."""
+    order = F.xxhash64("id", "key")
+    best = rows.withColumn("o", order).groupBy("key", F.pmod(order, F.lit(slots)).alias("slot"))
+    best = best.agg(F.min_by("id", "o").alias("id"), F.min_by("c", "o").alias("c"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    best = best.groupBy("key").agg(F.collect_list(F.struct("id", "c")).alias("heads"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return best.where("lo < hi").select("key", "heads")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, hubs: int = 24) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text, ...).
 
@@ -182,20 +191,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
     members = groups.select("id", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     active = stage(members.join(shared, "key"), "near-buckets")
-    links, part, before, turn = None, None, active, 0
+    links, part, before, source, turn = None, None, active, docs, 0
     while True:
-        slots = 1 if turn == 0 else hubs
         rows_now = active.withColumn("c", F.col("id")) if part is None else active.join(part, active.id == part.node, "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
-        order = F.xxhash64("id", "key", F.lit(turn))
-        slot = F.pmod(order, F.lit(slots))
-        heads = rows_now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), *[F.min(F.when(slot == k, F.struct(order.alias("o"), "id", "c"))).alias(f"h{k}") for k in range(slots)])
-        heads = heads.where("lo < hi").select("key", F.array_compact(F.array(*[f"h{k}" for k in range(slots)])).alias("heads"))
-        open_rows = stage(rows_now.join(heads, "key"), "near-open")
+        open_rows = stage(rows_now.join(_heads(rows_now, 1 if turn == 0 else hubs), "key"), "near-open")
         if open_rows.isEmpty():
             break
+        if turn == 1:  # the texts that later rounds can ask for
+            ids = stage(open_rows.select(F.col("id").alias("doc_id")).distinct(), "near-ids")
+            source = stage(semi_by_id(docs, ids, "doc_id"), "near-texts")
         pairs = open_rows.select("id", "c", F.explode("heads").alias("h")).where("c <> h.c").select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
         alike = stage(_alike(pairs, sketches, cut), "near-pairs")
-        found = _verified(alike, docs, width, percent) if not alike.isEmpty() else alike
+        found = _verified(alike, source, width, percent) if not alike.isEmpty() else alike
         if found is not alike and not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             part = stage(connected_components(links).withColumnRenamed("id", "node"), "near-parts")
