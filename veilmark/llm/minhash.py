@@ -3,12 +3,11 @@
 Words are runs of non-white-space bytes after lower-casing A-Z; a document's set holds its distinct
 `width`-word shingles as 64-bit hashes. Documents with equal sets collapse to one representative
 before any banding, so a group of exact copies costs one row however large it is. Representatives
-sharing a band of `rows` minima are candidates. A bucket never emits all its pairs: in each round it
-pairs its members with at most a few hubs, the pairs pass a size bound and the signature, and only then are
-the full sets compared; links go to connected components, and a bucket stays active while its members lie in
-more than one component. A hub leaves its bucket once compared with all the others, so the rounds
-end, and no pair of a bucket is lost: each is either compared or already connected. After two rounds the
-buckets left are refined to pairs of bands, which parts documents that merely share a passage.
+sharing a band of `rows` minima are candidates. A bucket never emits all its pairs: in each of a few rounds it
+pairs its members with one head; the pairs pass a size bound and the signature, and only then are the
+full sets compared; links go to connected components. Members of a bucket that still lie in several components
+after these rounds (variants just short of the similarity, texts that share a passage) go through an exact prefix-filter join
+over their shingles, so no pair of a bucket is lost: each is compared, connected, or proven below the similarity.
 
 With 32 bands of 4 rows a pair of similarity 0.75 shares no band with probability below 6e-6, and one in
 about 10,000 such pairs falls under the signature cut of four standard deviations.
@@ -20,6 +19,7 @@ a null doc_id links with nothing; repeated rows of one doc_id are one node of th
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from math import sqrt
 
 import numpy as np
@@ -140,41 +140,60 @@ def _alike(pairs: DataFrame, sketches: DataFrame, cut: float) -> DataFrame:
     return both.mapInArrow(agree, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the similarity; texts are read again for the documents in pairs only."""
-    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-    sets = _full_sets(semi_by_id(docs, ids, "doc_id"), width)
-    sets = stage(sets, "near-sets")
+def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(id, s) of the documents of ids(id), whose texts are read again."""
+    ids = stage(ids.select(F.col("id").alias("doc_id")).distinct(), "near-ids")
+    sets = stage(_full_sets(semi_by_id(docs, ids, "doc_id"), width), "near-sets")
+    discard(docs.sparkSession, ids)
+    return sets
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v): pairs whose full sets reach the similarity."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     inter = F.size(F.array_intersect("x", "y"))
     both = both.where(100 * inter >= percent * (F.size("x") + F.size("y") - inter))
-    links = stage(both.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "near-links")
-    discard(docs.sparkSession, ids, sets)
-    return links
+    return stage(both.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "near-links")
 
 
-def _by_two_bands(active: DataFrame) -> DataFrame:
-    """Buckets keyed by two shared bands instead of one; a document is in at most bands^2 / 2 of them.
+def _prefix_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links (u, v) of rest(id, c) across components, found by prefixes and decided on the full sets in the join.
 
-    What is left after the first rounds shares a band by a common passage more often than by being alike; two
-    documents of similarity 0.75 share fewer than two of 32 bands with probability below 1e-4.
+    Shingles are ordered by frequency among these documents, rarest first. Of two linked documents, the larger
+    shares with its prefix one of the smaller's; shingles of one document or one component alone give no pair. So
+    variants of one text that fall short of the similarity, which differ by shingles of their own, don't meet.
     """
-    keys = active.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("ks"))
-    twos = F.flatten(F.transform("ks", lambda x, i: F.transform(F.slice("ks", i + 2, F.size("ks")), lambda y: F.xxhash64(x, y))))
-    twos = keys.select("id", F.explode(twos).alias("key"))
-    return twos.join(twos.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key")
+    t = percent / 100
+    tokens = sets.join(rest, "id").select("id", "c", F.size("s").alias("n"), F.explode("s").alias("t"))
+    shared = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    own = tokens.join(shared, "t").groupBy("id", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
+    alone = F.col("n") - F.size("ts")  # shingles of this document only come first in the order
+    length = lambda least: F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1 - alone)
+    own = own.select("id", "c", "n", alone.alias("first"), F.transform(F.slice("ts", F.lit(1), length(t)), lambda x: x["t"]).alias("prefix"), length(2 * t / (1 + t)).alias("index"))
+    posts = own.select("id", "c", "n", "first", "index", F.posexplode("prefix").alias("k", "t"))
+    mixed = posts.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t")
+    posts = posts.join(mixed, "t").join(sets, "id").withColumn("at", F.col("first") + F.col("k"))
+    posts = stage(posts.select("id", "c", "n", "index", "k", "at", "t", "s"), "near-posts")
+    x = posts.select("t", *[F.col(k).alias(f"x_{k}") for k in ("id", "c", "n", "at", "s")])
+    y = posts.where("k < index").select(F.col("t").alias("u"), *[F.col(k).alias(f"y_{k}") for k in ("id", "c", "n", "at", "s")])
+    need = F.ceil((F.col("x_n") + F.col("y_n")) * (t / (1 + t)) - 1e-9)
+    reach = F.least("x_at", "y_at") + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    fits = (F.col("x_c") != F.col("y_c")) & (F.col("y_n") <= F.col("x_n")) & (100 * F.col("y_n") >= percent * F.col("x_n")) & (reach >= need)
+    linked = F.size(F.array_intersect("x_s", "y_s")) >= need
+    links = x.join(y, (F.col("t") == F.col("u")) & F.when(fits, linked).otherwise(F.lit(False)))
+    links = stage(links.select(F.least("x_id", "y_id").alias("u"), F.greatest("x_id", "y_id").alias("v")).distinct(), "near-links")
+    discard(sets.sparkSession, posts)
+    return links
 
 
-def _heads(rows: DataFrame, slots: int) -> DataFrame:
-    """(key, heads) of the buckets whose members lie in several components: at most one member a slot, by hash."""
+def _heads(rows: DataFrame) -> DataFrame:
+    """(key, head, hc) of the buckets whose members lie in several components: one member by hash."""
     order = F.xxhash64("id", "key")
-    best = rows.withColumn("o", order).groupBy("key", F.pmod(order, F.lit(slots)).alias("slot"))
-    best = best.agg(F.min_by("id", "o").alias("id"), F.min_by("c", "o").alias("c"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    best = best.groupBy("key").agg(F.collect_list(F.struct("id", "c")).alias("heads"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return best.where("lo < hi").select("key", "heads")
+    best = rows.groupBy("key").agg(F.min_by("id", order).alias("head"), F.min_by("c", order).alias("hc"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    return best.where("lo < hi").select("key", "head", "hc")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, hubs: int = 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text, ...).
 
     Documents link when 100 * |intersection| >= percent * |union| of their full sets;
@@ -191,27 +210,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
     members = groups.select("id", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     active = stage(members.join(shared, "key"), "near-buckets")
-    links, part, before, source, turn = None, None, active, docs, 0
-    while True:
+    links, part = [], None
+    for turn in range(rounds + 1):
         rows_now = active.withColumn("c", F.col("id")) if part is None else active.join(part, active.id == part.node, "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
-        open_rows = stage(rows_now.join(_heads(rows_now, 1 if turn == 0 else hubs), "key"), "near-open")
+        open_rows = stage(rows_now.join(_heads(rows_now), "key"), "near-open")
+        discard(docs.sparkSession, active)
         if open_rows.isEmpty():
             break
-        if turn == 1:  # the texts that later rounds can ask for
-            ids = stage(open_rows.select(F.col("id").alias("doc_id")).distinct(), "near-ids")
-            source = stage(semi_by_id(docs, ids, "doc_id"), "near-texts")
-        pairs = open_rows.select("id", "c", F.explode("heads").alias("h")).where("c <> h.c").select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
-        alike = stage(_alike(pairs, sketches, cut), "near-pairs")
-        found = _verified(alike, source, width, percent) if not alike.isEmpty() else alike
-        if found is not alike and not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            part = stage(connected_components(links).withColumnRenamed("id", "node"), "near-parts")
-        discard(docs.sparkSession, alike, before)
-        before = open_rows
-        active = open_rows.where(~F.exists("heads", lambda h: h.id == F.col("id"))).select("key", "id")
-        turn += 1
-        if turn == 2:
-            active = stage(_by_two_bands(active), "near-buckets")
+        if turn < rounds:
+            pairs = open_rows.where("c <> hc").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+            alike = stage(_alike(pairs, sketches, cut), "near-pairs")
+            sets = _sets_of(alike.select(F.explode(F.array("a", "b")).alias("id")), docs, width)
+            found = _verified(alike, sets, percent)
+        else:
+            sets, alike = _sets_of(open_rows.select("id"), docs, width), None
+            found = _prefix_links(open_rows.select("id", "c").distinct(), sets, percent)
+        discard(docs.sparkSession, alike, sets)
+        if not found.isEmpty():
+            links.append(found)
+            part = stage(connected_components(reduce(DataFrame.unionByName, links)).withColumnRenamed("id", "node"), "near-parts")
+        active = stage(open_rows.where("id <> head").select("key", "id"), "near-buckets")
+        discard(docs.sparkSession, open_rows)
 
     whole = full.select("doc_id", "n_shingles", "fp").join(groups.select("fp", "id"), "fp")
     if part is not None:
