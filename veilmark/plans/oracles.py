@@ -65,8 +65,8 @@ kept AS (SELECT doc_id, paragraph_index, unnest(list_reduce(list_transform(c, la
 det AS (SELECT doc_id, paragraph_index, k.y AS entity_type, k.s AS "start", k.e AS "end", k.t AS text, k.r AS recognizer, -k.b AS confidence FROM kept),
 keyed AS (SELECT *, CASE entity_type WHEN 'PERSON' THEN lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))
   WHEN 'PHONE_NUMBER' THEN CASE WHEN trim(text) LIKE '+%' THEN '+' ELSE '' END || regexp_replace(text, '[^0-9]', '', 'g') ELSE lower(trim(text)) END AS normalized FROM det),
-keys AS (SELECT doc_id, entity_type, normalized, min((paragraph_index, "start")) AS at, arg_min(text, (paragraph_index, "start")) AS original, count(*) AS occurrences, sha256(normalized || ':' || entity_type) AS h FROM keyed GROUP BY doc_id, entity_type, normalized),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY at, entity_type, normalized) - 1 AS creation_index FROM keys),
+keys AS (SELECT doc_id, entity_type, normalized, min((paragraph_index, "start")) AS first_at, arg_min(text, (paragraph_index, "start")) AS original, count(*) AS occurrences, sha256(normalized || ':' || entity_type) AS h FROM keyed GROUP BY doc_id, entity_type, normalized),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_at, entity_type, normalized) - 1 AS creation_index FROM keys),
 p0 AS (SELECT *, (doc_id * 1000000 + paragraph_index) * 10000 + "start" AS id, (doc_id * 31 + paragraph_index * 7 + "start") % 10 AS k FROM det),
 gt AS (SELECT id AS gt_id, doc_id, paragraph_index, CASE WHEN k = 2 THEN 'PERSON' ELSE entity_type END AS entity_type, "start", ("end" + CASE WHEN k = 1 THEN 1 ELSE 0 END)::INT AS "end" FROM p0 WHERE k <> 0),
 matched AS (SELECT gt.*, p0.id AS pred_id FROM gt JOIN p0 USING (doc_id, paragraph_index, entity_type, "start", "end")),
