@@ -1,7 +1,7 @@
 """Main-text extraction by equivalence-class template deduction.
 
-Each page is read as tokens: tags, the words of short text runs and whole longer runs, each told apart by
-its path of open elements. Per host, a token's occurrence vector is its count on every distinct page, held as a
+Each page is read as tokens: tags and the texts of whole blocks, each told apart by its path of open
+elements (a block is never taken apart, so no word of an article goes missing). Per host, a token's occurrence vector is its count on every distinct page, held as a
 sum of hashes of (page, count), which combines map-side and so bears a host of any size. Tokens of one
 host sharing a vector form an equivalence class; a class is kept when it occurs on every distinct page of a
 host with enough of them, and when it is anchored by a tag. Kept classes nest by order of their first
@@ -50,7 +50,6 @@ _TAG = re.compile(r"<!--.*?(?:--\s*>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 _END = {name: re.compile(rf"</{name}\s*>|</{name}\s[^>]*>", re.I) for name in RAW}
-SHORT_RUN = 6
 
 
 def _noisy(attributes: str) -> bool:
@@ -144,15 +143,18 @@ def page_tokens(page: str) -> dict[int, tuple[int, int, int]]:
 
     for k, (name, path) in enumerate(tags):
         add(f"<{path}/{name}", k, 1)
-    for piece, path, _, _, _, k in runs:
-        for token in text_tokens(piece):
-            add(f"{path}|{token}", k, 0)
+    for token, k in block_tokens(runs):
+        add(token, k, 0)
     return found
 
 
-def text_tokens(piece: str) -> list[str]:
-    words = piece.split()
-    return words if len(words) <= SHORT_RUN else [" ".join(words)]
+def block_tokens(runs: list) -> list[tuple[str, int]]:
+    """(token, position) of every block's text that an extraction may keep."""
+    out: dict[int, list] = {}
+    for piece, path, block, dropped, _, k in runs:
+        if dropped < 2:
+            out.setdefault(block, [path, k, []])[2].append(piece)
+    return [(f"{path}|{' '.join(''.join(pieces).split())}", k) for path, k, pieces in out.values()]
 
 
 def extract(page: str, template: dict[int, int] | None = None) -> str:
@@ -160,27 +162,18 @@ def extract(page: str, template: dict[int, int] | None = None) -> str:
     _, runs = read_runs(page)
     inside = any(r[4] and r[3] < 2 for r in runs)
     allowed = 0 if not inside or any(r[4] and not r[3] for r in runs) else 1  # the article stands in an element named like a sidebar
-    place, blocks, now = -1, [], None
-    for piece, path, block, dropped, article, _ in runs:
+    blocks: dict[int, list] = {}
+    for run in runs:
+        blocks.setdefault(run[2], []).append(run)
+    place, texts = -1, []
+    for block in blocks.values():
         if template:
-            left = []
-            for token in text_tokens(piece) or [" "]:
-                at = template.get(_hash(f"{path}|{token}"))
-                if at is not None and at >= place:
-                    place = at
-                else:
-                    left.append(token)
-            if not left:
+            at = next((template.get(_hash(token)) for token, _ in block_tokens(block)), None)
+            if at is not None and at >= place:
+                place = at
                 continue
-            if len(left) < len(piece.split()) <= SHORT_RUN:
-                piece = " " + " ".join(left) + " "
-        if dropped > allowed or inside and not article:
-            continue
-        if block != now:
-            blocks.append([])
-            now = block
-        blocks[-1].append(piece)
-    texts = (" ".join(entities.unescape("".join(b)).split()) for b in blocks)
+        kept = "".join(r[0] for r in block if r[3] <= allowed and (r[4] or not inside))
+        texts.append(" ".join(entities.unescape(kept).split()))
     return "\n".join(t for t in texts if t)
 
 

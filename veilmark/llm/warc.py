@@ -47,7 +47,7 @@ def response_record(page_id: int | None, url: str | None, html: str | None, seri
     payload = (html or "").encode("utf-8", "surrogatepass")
     http = HTTP + f"Content-Length: {len(payload)}\r\n\r\n".encode()
     head = ["WARC/1.1", "WARC-Type: response", f"WARC-Record-ID: <urn:uuid:{serial}>", f"WARC-Date: {DATE}"]
-    head += [f"WARC-Target-URI: {_header_text(url)}"] * (url is not None) + [f"X-Page-ID: {page_id}"] * (page_id is not None)
+    head += ([] if url is None else [f"WARC-Target-URI: {_header_text(url)}"]) + [f"X-Page-ID: {page_id}"] * (page_id is not None)
     head += [f"WARC-Payload-Digest: sha1:{payload_digest(payload)}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(http) + len(payload)}"]
     return "\r\n".join(head) + END + (http + payload).decode("utf-8", "surrogatepass")
 
