@@ -8,7 +8,7 @@ PRIORITY = {"EMAIL_ADDRESS": 1, "CREDIT_CARD": 2, "IP_ADDRESS": 3, "PHONE_NUMBER
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PHONE = r"(?:\+?\d{1,3}[\s-]?)?\(?\d{2,5}\)?[\s-]?\d{3,5}[\s-]?\d{3,5}\b"
 IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
-IPV6 = r"(?<![:.\w])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![:.\w])"
+IPV6 = r"(?<![:.\w])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![:\w])"
 CARD = r"\b(?:\d[ -]*?){13,19}\b"
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
 DOB_KEYWORD = r"(?i)\b(?:dob|date\s+of\s+birth|born\s+on|birth\s*date|age[:\s])\b"
