@@ -170,9 +170,10 @@ def _prefix_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     alone = F.col("n") - F.size("ts")  # shingles of this document only come first in the order
     length = lambda least: F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1 - alone)
     own = own.select("id", "c", "n", alone.alias("first"), F.transform(F.slice("ts", F.lit(1), length(t)), lambda x: x["t"]).alias("prefix"), length(2 * t / (1 + t)).alias("index"), F.transform("ts", lambda x: x["t"]).alias("s"))
-    posts = own.select("id", "c", "n", "first", "index", "s", F.posexplode("prefix").alias("k", "t"))
-    mixed = posts.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t")
-    posts = posts.join(mixed, "t").withColumn("at", F.col("first") + F.col("k"))
+    own = stage(own, "near-own")
+    posts = own.select("id", "c", "n", "first", "index", F.posexplode("prefix").alias("k", "t"))
+    mixed = posts.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.col("k") < F.col("index")).alias("indexed")).where("lo < hi and indexed").select("t")
+    posts = posts.join(mixed, "t").join(own.select("id", "s"), "id").withColumn("at", F.col("first") + F.col("k"))
     posts = stage(posts.select("id", "c", "n", "index", "k", "at", "t", "s"), "near-posts")
     x = posts.select("t", *[F.col(k).alias(f"x_{k}") for k in ("id", "c", "n", "at", "s")])
     y = posts.where("k < index").select(F.col("t").alias("u"), *[F.col(k).alias(f"y_{k}") for k in ("id", "c", "n", "at", "s")])
@@ -182,7 +183,7 @@ def _prefix_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     linked = F.size(F.array_intersect("x_s", "y_s")) >= need  # shingles of one document only can't be shared
     links = x.join(y, (F.col("t") == F.col("u")) & F.when(fits, linked).otherwise(F.lit(False)))
     links = stage(links.select(F.least("x_id", "y_id").alias("u"), F.greatest("x_id", "y_id").alias("v")).distinct(), "near-links")
-    discard(sets.sparkSession, posts)
+    discard(sets.sparkSession, own, posts)
     return links
 
 
