@@ -32,6 +32,8 @@ from .common import arrow_map, discard, mix64, semi_by_id, stage
 from .components import connected_components
 
 SEED = 20240229
+#: Shingle arrays are broadcast up to this many 64-bit shingles in all (64 MB); beyond it they are shuffled.
+BROADCAST_SHINGLES = 8_000_000
 
 
 class _WordHashes(dict):
@@ -173,10 +175,13 @@ def _prefix_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = stage(own, "near-own")
     posts = own.select("id", "c", "n", "first", "index", F.posexplode("prefix").alias("k", "t"))
     mixed = posts.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.col("k") < F.col("index")).alias("indexed")).where("lo < hi and indexed").select("t")
-    posts = posts.join(mixed, "t").join(own.select("id", "s"), "id").withColumn("at", F.col("first") + F.col("k"))
-    posts = stage(posts.select("id", "c", "n", "index", "k", "at", "t", "s"), "near-posts")
-    x = posts.select("t", *[F.col(k).alias(f"x_{k}") for k in ("id", "c", "n", "at", "s")])
-    y = posts.where("k < index").select(F.col("t").alias("u"), *[F.col(k).alias(f"y_{k}") for k in ("id", "c", "n", "at", "s")])
+    posts = stage(posts.join(mixed, "t").select("id", "c", "n", "index", "k", (F.col("first") + F.col("k")).alias("at"), "t"), "near-posts")
+    arrays = own.select("id", "s")
+    if (own.agg(F.sum(F.size("s"))).first()[0] or 0) <= BROADCAST_SHINGLES:
+        arrays = F.broadcast(arrays)  # joined behind the exchange by shingle, so no array is shuffled
+    whole = posts.repartition("t").join(arrays, "id")
+    x = whole.select("t", *[F.col(k).alias(f"x_{k}") for k in ("id", "c", "n", "at", "s")])
+    y = whole.where("k < index").select(F.col("t").alias("u"), *[F.col(k).alias(f"y_{k}") for k in ("id", "c", "n", "at", "s")])
     need = F.ceil((F.col("x_n") + F.col("y_n")) * (t / (1 + t)) - 1e-9)
     reach = F.least("x_at", "y_at") + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
     fits = (F.col("x_c") != F.col("y_c")) & (F.col("y_n") <= F.col("x_n")) & (100 * F.col("y_n") >= percent * F.col("x_n")) & (reach >= need)
