@@ -31,7 +31,7 @@ _NUMBERS = "0-9²³¹¼½¾"
 #: The same pattern over the characters of PLAIN, where the standard library's engine is faster.
 PLAIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+"
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-\xff]*")
-WORDS_KEPT = 500_000
+WORDS_KEPT = 350_000
 PAIRS_KEPT = 2_000_000
 _NEVER = 1 << 62
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, stage
 
-WORDS_KEPT = 800_000
+WORDS_KEPT = 250_000
 _LETTERS = "a-zªµºß-öø-ÿ"
 _NUMBERS = "0-9²³¹¼½¾"
 
