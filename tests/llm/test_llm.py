@@ -200,3 +200,35 @@ def test_lm_scores(spark):
     assert got[99].n_tokens == 0 and got[99].score == 0 and got[99].target_loss is None
     assert max(got[i].score for i in range(0, 80, 2)) < min(got[i].score for i in range(1, 80, 2))
     assert model.unigrams[:, 0].sum() == 80 * 40
+
+
+def test_lm_scores_keep_every_word_and_bigram(spark):
+    rng = random.Random(12)
+    made = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    common = [made() for _ in range(200)]
+    rows = [(i, " ".join(rng.choice(common) if rng.random() < 0.3 else made() for _ in range(60))) for i in range(300)] + [(400, None), (7, "twice seen")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    targets = {i for i in range(0, 300, 3)}
+    uni, bi = ([{}, {}] for _ in range(2))
+    for i, text in rows:
+        w = (text or "").split()
+        for m in range(1 + (i in targets)):
+            for x in w:
+                uni[m][x] = uni[m].get(x, 0) + 1
+            for x in zip(w, w[1:]):
+                bi[m][x] = bi[m].get(x, 0) + 1
+    assert len(uni[0]) > 8191
+
+    def loss(w, m):
+        p = [0.4 * uni[m].get(x, 0) / sum(uni[m].values()) + 0.1 / (len(uni[0]) + 1) for x in w]
+        for k in range(1, len(w)):
+            p[k] += 0.5 * bi[m].get((w[k - 1], w[k]), 0) / max(1, uni[m].get(w[k - 1], 0))
+        return -sum(map(np.log, p)) / len(w)
+
+    model = lm_score.train(frame, frame.where("doc_id % 3 = 0 and doc_id < 300").select("doc_id"))
+    others = [(900, rows[5][1] + " unseen words"), (901, "")]
+    for texts, docs in ((rows, frame), (others, spark.createDataFrame(others, "doc_id long, text string"))):
+        got = sorted((r.doc_id, r.n_tokens, r.target_loss, r.background_loss, r.score) for r in lm_score.score(docs, model).where("n_tokens > 0").collect())
+        want = sorted((i, len(t.split()), loss(t.split(), 1), loss(t.split(), 0)) for i, t in texts if t)
+        assert len(got) == len(want)
+        assert all(g[:2] == w[:2] and np.allclose(g[2:], (*w[2:], w[2] - w[3]), atol=1e-9) for g, w in zip(got, want))

@@ -1,16 +1,16 @@
 """Cross-entropy difference scoring with matched target and background bigram models.
 
-Both models share one vocabulary (the most frequent words of the whole corpus, the rest as one unknown word),
-one smoothing and one table layout, and are counted in one pass: the background over all documents, the target over
-those marked as in-domain. A document's score is the mean over its tokens of target loss minus background
-loss, so lower means closer to the target.
+Both models share the whole vocabulary of the corpus, one smoothing and one layout, and are counted in one pass: the
+background over all documents, the target over those marked as in-domain. A document's score is the mean over its
+tokens of target loss minus background loss, so lower means closer to the target.
 
-Words and bigrams are counted in every task before the shuffle and summed across tasks; what is gathered grows
-with the corpus until each table is full. The models' size is fixed by vocab_size and slots (bigrams hash into
-slots), so broadcasting them is bounded.
+No word and no bigram is left out or merged: each is told apart by a 64-bit hash, and what is gathered grows with the
+corpus. Documents are taken in parts of many tokens; a part counts its words and bigrams and sends them, sorted and cut
+into key ranges, to one group a range, which sums all parts and answers each part for its own keys. So no table of the
+model stands in one place, a very common word costs one entry a part, and the ranges grow in number with the text.
 
 Defined cases: null text counts as empty; without words the losses are null and score is 0; without
-target documents the target model is uniform; repeated rows count each.
+target documents the target model is uniform; repeated rows count each; words the corpus lacks have count 0.
 """
 
 from __future__ import annotations
@@ -19,13 +19,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, mix64, stage
+from .common import mix64, stage
 from .minhash import _WORDS
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text a key range stands for.
+RANGE_BYTES = 16_000_000
 
 
 def word_codes(text: str | None) -> np.ndarray:
@@ -34,98 +37,180 @@ def word_codes(text: str | None) -> np.ndarray:
     return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
 
+def _pack(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind) if n else np.empty(0, kind)
+
+
 @dataclass
 class Models:
-    """Counts over one vocabulary; column 0 is the background, column 1 the target."""
+    """The trained documents in parts, whose counts are summed by key range when documents are scored."""
 
-    words: np.ndarray
-    unigrams: np.ndarray
-    bigrams: np.ndarray
+    docs: DataFrame
+    parts: DataFrame
+    slots: int
     weights: tuple[float, float, float] = (0.5, 0.4, 0.1)
 
-    def ids(self, codes: np.ndarray) -> np.ndarray:
-        """1 to V for known words, 0 for the unknown one."""
-        if not len(self.words):
-            return np.zeros(len(codes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, codes), len(self.words) - 1)
-        return np.where(self.words[at] == codes, at + 1, 0)
-
-    def slot(self, ids: np.ndarray) -> np.ndarray:
-        pair = mix64(ids[:-1].astype(np.uint64) * _STEP + ids[1:].astype(np.uint64))
-        return (pair & np.uint64(len(self.bigrams) - 1)).astype(np.int64)
-
-    def losses(self, text: str | None) -> tuple[int, float | None, float | None]:
-        """(tokens, target loss, background loss) a token."""
-        ids = self.ids(word_codes(text))
-        if not len(ids):
-            return 0, None, None
-        high, middle, low = self.weights
-        slot = self.slot(ids)
-        out = []
-        for m in (1, 0):
-            uni, bi = self.unigrams[:, m], self.bigrams[:, m]
-            p = middle * uni[ids] / max(1, uni.sum()) + low / len(uni)
-            context = uni[ids[:-1]]
-            p[1:] += high * np.minimum(1, np.divide(bi[slot], context, out=np.zeros(len(slot)), where=context > 0))
-            out.append(float(-np.log(p).mean()))
-        return len(ids), out[0], out[1]
-
-
-def train(docs: DataFrame, target_ids: DataFrame, vocab_size: int = 8191, slots: int = 1 << 19) -> Models:
-    """Models from all of docs(doc_id, text); target_ids(doc_id) marks the target documents."""
-    target = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(1))
-    marked = docs.select(F.col("doc_id").cast("long"), "text").select("doc_id", "text")
+    @property
+    def unigrams(self) -> np.ndarray:
+        """Background and target count of each word in the order of their codes; gathered, so for small corpora only."""
+        codes, n, t = [np.empty(0, np.uint64)], [np.empty(0)], [np.empty(0)]
+        for row in self.parts.toLocalIterator():
+            part = _Part(row.asDict())
+            codes.append(part.codes)
+            n.append(np.bincount(part.words, minlength=len(part.codes)))
+            t.append(np.bincount(part.words[part.target], minlength=len(part.codes)))
+        found, at = np.unique(np.concatenate(codes), return_inverse=True)
+        return np.column_stack([np.bincount(at, np.concatenate(x), len(found)) for x in (n, t)])
+
+
+class _Part:
+    """One row of parts, read back: per token its place in codes, whether it is target and whether a word stands before it."""
+
+    def __init__(self, row: dict):
+        self.doc_id, self.lengths = row["doc_id"], np.array(row["length"], np.int64)
+        self.codes = np.frombuffer(row["codes"], np.uint64)
+        self.words = _unpack(row["words"], int(self.lengths.sum()), np.int32)
+        self.target = np.repeat(np.array(row["target"], bool), self.lengths)
+        self.starts = (np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]
+        self.follows = np.ones(len(self.words), bool)
+        self.follows[self.starts] = False
+
+    def pairs(self) -> np.ndarray:
+        """Bigram keys of the tokens that follow another."""
+        codes = self.codes[self.words]
+        return mix64(codes[:-1] * _STEP + codes[1:])[self.follows[1:]]
+
+
+_PARTS = "part long, doc_id array<long>, length array<int>, target array<int>, codes binary, words binary"
+_PARTS_ARROW = pa.schema([("part", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("length", pa.list_(pa.int32())), ("target", pa.list_(pa.int32())), ("codes", pa.binary()), ("words", pa.binary())])
 
-    def count_words(batches):
+
+def _parts(docs: DataFrame, slots: int) -> DataFrame:
+    """docs(doc_id, text, target) as staged rows of many documents each."""
+
+    def row(number: int, ids: list, codes: list, target: list) -> pa.RecordBatch:
+        found, words = np.unique(np.concatenate(codes), return_inverse=True)
+        cells = [number, ids, [len(c) for c in codes], target, found.tobytes(), _pack(words.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, _PARTS_ARROW)], schema=_PARTS_ARROW)
+
+    def run(batches):
+        number, size, held = TaskContext.get().partitionId() << 32, 0, ([], [], [])
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                found, n = np.unique(np.concatenate([word_codes(t) for t in batch.column(0).slice(at, 1024).to_pylist()] or [np.empty(0, np.uint64)]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                for doc, text, target in zip(*(part.column(i).to_pylist() for i in range(3))):
+                    codes = word_codes(text)
+                    for column, value in zip(held, (doc, codes, target)):
+                        column.append(value)
+                    size += len(codes) + 1
+                    if size >= slots:
+                        yield row(number, *held)
+                        number, size, held = number + 1, 0, ([], [], [])
+        if held[0]:
+            yield row(number, *held)
 
-    words = marked.select("text").mapInArrow(count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "word").limit(vocab_size).select("word").toArrow()
-    known = np.sort(top.column("word").to_numpy().view(np.uint64))
-    frame = Models(known, np.zeros((len(known) + 1, 2)), np.zeros((slots, 2)))
-    shared = docs.sparkSession.sparkContext.broadcast(frame)
+    return stage(docs.select("doc_id", "text", "target").mapInArrow(run, _PARTS), "lm-parts")
 
-    small = stage(target, "lm-target")
-    flagged = marked.join(F.broadcast(small) if small.count() <= 2_000_000 else small, "doc_id", "left").select("text", F.coalesce("target", F.lit(0)).alias("target"))
 
-    def count_tables(batches):
-        model = shared.value
-        uni, bi = np.zeros((len(model.unigrams), 2), np.int64), np.zeros((len(model.bigrams), 2), np.int64)
+_POSTS = "bucket int, part long, asks boolean, keys binary, n binary, t binary"
+
+
+def _posts(parts: DataFrame, buckets: int, counts: bool, asks: bool) -> DataFrame:
+    """The words (buckets from 0) and bigrams (from buckets) of each part by key range, with their counts unless counts is false."""
+
+    def run(batches):
+        edges = np.array([-(-b * (1 << 32) // buckets) << 32 for b in range(buckets)], np.uint64)
         for batch in batches:
-            for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = model.ids(word_codes(text))
-                if not len(ids):
-                    continue
-                slot = model.slot(ids)
-                for m in range(target + 1):
-                    np.add.at(uni[:, m], ids, 1)
-                    np.add.at(bi[:, m], slot, 1)
-        for kind, table in ((0, uni), (1, bi)):
-            at = np.flatnonzero(table[:, 0])
-            for k in range(0, len(at), 100_000):
-                part = at[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part.astype(np.int32)), pa.array(table[part, 0]), pa.array(table[part, 1])], names=["kind", "at", "background", "target"])
-
-    tables = flagged.mapInArrow(count_tables, "kind int, at int, background long, target long")
-    sums = tables.groupBy("kind", "at").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow()
-    kind, at = sums.column("kind").to_numpy(), sums.column("at").to_numpy()
-    for k, table in ((0, frame.unigrams), (1, frame.bigrams)):
-        for m, name in enumerate(("background", "target")):
-            table[at[kind == k], m] = sums.column(name).to_numpy()[kind == k]
-    shared.unpersist()
-    return frame
+            for row in (r for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
+                part = _Part(row)
+                pairs = part.pairs()
+                found, n = np.unique(pairs, return_counts=True)
+                inside, m = np.unique(pairs[part.target[part.follows]], return_counts=True)
+                t = np.zeros(len(found), np.int64)
+                t[np.searchsorted(found, inside)] = m
+                size = len(part.codes)
+                words = part.codes, np.bincount(part.words, minlength=size), np.bincount(part.words[part.target], minlength=size)
+                for first, (keys, n, t) in ((0, words), (buckets, (found, n, t))):
+                    cuts = [*np.searchsorted(keys, edges).tolist(), len(keys)]
+                    spans = [(first + b, slice(i, j)) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+                    n, t = (x.astype(np.int32) * counts for x in (n, t))
+                    cells = [[b for b, _ in spans], [row["part"]] * len(spans), [asks] * len(spans), *([x[s].tobytes() for _, s in spans] for x in (keys, n, t))]
+                    kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], names=["bucket", "part", "asks", "keys", "n", "t"])
+
+    return parts.mapInArrow(run, _POSTS)
+
+
+_COUNTS = "part long, bucket int, size long, n binary, t binary, all_n long, all_t long"
+_COUNTS_ARROW = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("size", pa.int64()), ("n", pa.binary()), ("t", pa.binary()), ("all_n", pa.int64()), ("all_t", pa.int64())])
+
+
+def _range_counts(table: pa.Table) -> pa.Table:
+    """Corpus counts of a key range for each part that asks, and a row without part for the range itself."""
+    rows = table.to_pydict()
+    keys = [np.frombuffer(x, np.uint64) for x in rows["keys"]]
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    n, t = (np.bincount(at, np.frombuffer(b"".join(rows[c]), np.int32), len(found)).astype(np.int64) for c in ("n", "t"))
+    out, start = [(None, rows["bucket"][0], int(np.count_nonzero(n)), None, None, int(n.sum()), int(t.sum()))], 0
+    for part, asks, own in zip(rows["part"], rows["asks"], keys):
+        mine = at[start : start + len(own)]
+        start += len(own)
+        if asks:
+            out.append((part, rows["bucket"][0], len(own), _pack(n[mine]), _pack(t[mine]), None, None))
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), _COUNTS_ARROW)], schema=_COUNTS_ARROW)
+
+
+def train(docs: DataFrame, target_ids: DataFrame, slots: int = 1 << 20) -> Models:
+    """Models from all of docs(doc_id, text); target_ids(doc_id) marks the target documents.
+
+    slots is how many tokens a part holds before its counts leave the task; it bounds memory, not the models.
+    """
+    target = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("target", F.lit(1))
+    small = stage(target, "lm-target")
+    marked = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(small) if small.count() <= 2_000_000 else small, "doc_id", "left")
+    return Models(docs, _parts(marked.select("doc_id", "text", F.coalesce("target", F.lit(0)).alias("target")), slots), slots)
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def rows(cols: dict) -> dict:
-        got = [shared.value.losses(t) for t in cols["text"]]
-        return {"doc_id": cols["doc_id"], "n_tokens": [g[0] for g in got], "target_loss": [g[1] for g in got], "background_loss": [g[2] for g in got], "score": [g[1] - g[2] if g[0] else 0.0 for g in got]}
+    same = docs is models.docs
+    asking = models.parts if same else _parts(docs.select(F.col("doc_id").cast("long"), "text", F.lit(0).alias("target")), models.slots)
+    buckets = max(32, -(-(models.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
+    posts = _posts(models.parts, buckets, True, same)
+    if not same:
+        posts = posts.unionByName(_posts(asking, buckets, False, True))
+    counts = stage(posts.groupBy("bucket").applyInArrow(_range_counts, _COUNTS), "lm-counts")
+    size, *sums = counts.where((F.col("part").isNull()) & (F.col("bucket") < buckets)).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("size", "all_n", "all_t")]).first()
+    high, middle, low = models.weights
+
+    def rows(parts: pa.Table, answers: pa.Table) -> pa.Table:
+        out: dict = {"doc_id": [], "n_tokens": [], "target_loss": [], "background_loss": [], "score": []}
+        found = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
+        for row in parts.to_pylist():
+            part = _Part(row)
+            at = np.unique(part.pairs(), return_inverse=True)[1]
+            before = np.flatnonzero(part.follows) - 1
+            losses = []
+            for name, total in (("t", sums[1]), ("n", sums[0])):
+                uni, bi = (np.concatenate([np.empty(0, np.int64), *(_unpack(r[name], r["size"], np.int64) for r in found if (r["bucket"] >= buckets) == kind)]) for kind in (False, True))
+                p = middle * uni[part.words] / max(1, total) + low / (size + 1)
+                context = uni[part.words[before]]
+                p[part.follows] += high * np.minimum(1, np.divide(bi[at], context, out=np.zeros(len(at)), where=context > 0))
+                mean = np.full(len(part.lengths), np.nan)
+                if len(p):
+                    mean[part.lengths > 0] = np.add.reduceat(-np.log(p), part.starts) / part.lengths[part.lengths > 0]
+                losses.append(mean)
+            out["doc_id"] += part.doc_id
+            out["n_tokens"] += part.lengths.tolist()
+            for name, x in (("target_loss", losses[0]), ("background_loss", losses[1])):
+                out[name] += [v if k else None for v, k in zip(x.tolist(), part.lengths.tolist())]
+            out["score"] += np.where(part.lengths > 0, losses[0] - losses[1], 0.0).tolist()
+        return pa.table(out, schema=arrow)
 
     arrow = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, n_tokens long, target_loss double, background_loss double, score double", arrow)
+    answers = counts.where("part is not null").select("part", "bucket", "size", "n", "t")
+    return asking.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(rows, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
