@@ -232,3 +232,14 @@ def test_lm_scores_keep_every_word_and_bigram(spark):
         want = sorted((i, len(t.split()), loss(t.split(), 1), loss(t.split(), 0)) for i, t in texts if t)
         assert len(got) == len(want)
         assert all(g[:2] == w[:2] and np.allclose(g[2:], (*w[2:], w[2] - w[3]), atol=1e-9) for g, w in zip(got, want))
+
+
+def test_html_templates_bear_empty_pages_and_layouts(spark):
+    first = lambda i: f"<html><body><article><h1>T {i}</h1><p>Share this story with all of your many friends<p>Body {i} words</article></body></html>"
+    second = lambda i: f"<html><body><section><article><h2>U {i}</h2><p>Read the terms before you write to us</p><p>Text {i} words</p></article></section></body></html>"
+    rows = [(i, f"http://h.example/{i}", first(i)) for i in range(20)] + [(100 + i, f"http://h.example/b{i}", second(i)) for i in range(20)]
+    rows += [(200, "http://h.example/none", None), (201, "http://h.example/void", ""), (202, "http://h.example/error", "<html><body><p>Error 500</body></html>")]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == f"T {i}\nBody {i} words" and got[100 + i] == f"U {i}\nText {i} words" for i in range(20))
+    assert got[200] == got[201] == "" and got[202] == "Error 500"

@@ -3,16 +3,16 @@
 Each page is read as tokens: tags and the texts of whole blocks, each told apart by its path of open
 elements (a block is never taken apart, so no word of an article goes missing). Per host, a token's occurrence vector is its count on every distinct page, held as a
 sum of hashes of (page, count), which combines map-side and so bears a host of any size. Tokens of one
-host sharing a vector form an equivalence class; a class is kept when it occurs on every distinct page of a
-host with enough of them, and when it is anchored by a tag. Kept classes nest by order of their first
-appearance into the host's template. On each page, text tokens of the template that stand in
-template order are template text; what is left are the slots, and the slots inside the article that no
+host sharing a vector form an equivalence class; a class is kept when it occurs on at least min_pages distinct pages
+and a share of the host's, and when it is anchored by a tag. So each layout of a host has classes of its own, and an
+error page or a second layout takes nothing from the others. The kept classes are the host's template. On each page,
+text tokens of the template that stand in the order of their class are template text; what is left are the slots, and the slots inside the article that no
 menu, header, footer, sidebar, notice, advert, form, script, style or comment element encloses are the main text.
 
-A template is bounded by the smallest page of its host. Templates are broadcast while their number is below a
+A template holds at most 1 / share times the tokens of an average page of its host. Templates are broadcast while their number is below a
 checked bound and joined by host otherwise.
 
-Defined cases: null html counts as empty; a null url is a host of its own; hosts with fewer than min_pages
+Defined cases: null html counts as empty; pages without tokens count for no host; a null url is a host of its own; hosts with fewer than min_pages
 distinct pages have no template, only the element rules; unclosed elements end with their parent or the page;
 repeated rows are extracted each.
 """
@@ -23,7 +23,6 @@ import hashlib
 import html as entities
 import re
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -157,20 +156,21 @@ def block_tokens(runs: list) -> list[tuple[str, int]]:
     return [(f"{path}|{' '.join(''.join(pieces).split())}", k) for path, k, pieces in out.values()]
 
 
-def extract(page: str, template: dict[int, int] | None = None) -> str:
-    """Main text of a page; template holds text tokens and their place in the template's order."""
+def extract(page: str, template: dict[int, tuple[int, float]] | None = None) -> str:
+    """Main text of a page; template holds text tokens with their class and their place in its order."""
     _, runs = read_runs(page)
     inside = any(r[4] and r[3] < 2 for r in runs)
     allowed = 0 if not inside or any(r[4] and not r[3] for r in runs) else 1  # the article stands in an element named like a sidebar
     blocks: dict[int, list] = {}
     for run in runs:
         blocks.setdefault(run[2], []).append(run)
-    place, texts = -1, []
+    places: dict[int, float] = {}
+    texts = []
     for block in blocks.values():
         if template:
             at = next((template.get(_hash(token)) for token, _ in block_tokens(block)), None)
-            if at is not None and at >= place:
-                place = at
+            if at is not None and at[1] >= places.get(at[0], -1):
+                places[at[0]] = at[1]
                 continue
         kept = "".join(r[0] for r in block if r[3] <= allowed and (r[4] or not inside))
         texts.append(" ".join(entities.unescape(kept).split()))
@@ -181,27 +181,25 @@ def _host(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, min_pages: int = 8) -> DataFrame:
-    """(host, tokens, places): the text tokens of each host's template and their order."""
+def templates(pages: DataFrame, min_pages: int = 8, share: float = 0.1) -> DataFrame:
+    """(host, tokens, classes, places): the text tokens of each host's template, their class and their order in it."""
 
     def tokens(batches):
         schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("token", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("at", pa.list_(pa.int32())), ("kind", pa.list_(pa.int32()))])
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 hosts, texts = (batch.slice(start, 256).column(i).to_pylist() for i in range(2))
-                out: list = [[] for _ in range(5)]
-                pages_here = [text or "" for text in texts]
-                read_here = [page_tokens(page) for page in pages_here]
-                common: dict = {}
-                for host, found in zip(hosts, read_here):
-                    common[host] = common[host] & found.keys() if host in common else set(found)
-                for host, page, found in zip(hosts, pages_here, read_here):
-                    found = {h: v for h, v in found.items() if h in common[host]}  # the others miss a page of the host
-                    out[0].append(int.from_bytes(hashlib.blake2b(page.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
-                    out[1].append(list(found))
+                out: list = [[] for _ in range(6)]
+                for host, page in zip(hosts, texts):
+                    found = page_tokens(page or "")
+                    if not found:
+                        continue
+                    out[0].append(host)
+                    out[1].append(int.from_bytes(hashlib.blake2b(page.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
+                    out[2].append(list(found))
                     for k in range(3):
-                        out[2 + k].append([v[k] for v in found.values()])
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([hosts, *out], schema)], schema=schema)
+                        out[3 + k].append([v[k] for v in found.values()])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
     read = pages.select(_host(F.col("url")).alias("host"), F.col("html").cast("string"))
     busy = stage(read.groupBy("host").agg(F.count("*").alias("c")).where(F.col("c") >= min_pages).select("host"), "html-hosts")
@@ -213,26 +211,28 @@ def templates(pages: DataFrame, min_pages: int = 8) -> DataFrame:
     vector = F.xxhash64("page", "n").cast("decimal(20,0)")
     counted = each.groupBy("host", "token").agg(F.count("*").alias("support"), F.sum(vector).alias("vector"), F.avg("at").alias("at"), F.max("kind").alias("kind"))
     sizes = rows.groupBy("host").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= min_pages)
-    full = counted.join(sizes, (counted.host == sizes.host) & (counted.support == sizes.pages)).select(counted.host.alias("host"), "token", "vector", "at", "kind")
+    enough = F.greatest(F.lit(min_pages), F.col("pages") * share)
+    full = counted.where(F.col("support") >= min_pages).join(sizes, (counted.host == sizes.host) & (counted.support >= enough)).select(counted.host.alias("host"), "token", "vector", "at", "kind")
     anchored = full.where("kind = 1").select("host", "vector").distinct()
     text = full.where("kind = 0").join(anchored, ["host", "vector"])
-    return text.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("t")).select("host", F.transform("t", lambda x: x["token"]).alias("tokens"), F.transform("t", lambda x: x["at"]).alias("places"))
+    rows = text.groupBy("host").agg(F.collect_list(F.struct("token", F.xxhash64("vector").alias("class"), "at")).alias("t"))
+    return rows.select("host", F.col("t.token").alias("tokens"), F.col("t.class").alias("classes"), F.col("t.at").alias("places"))
 
 
 def main_text(pages: DataFrame, min_pages: int = 8, broadcast_hosts: int = 200_000) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages(page_id, url, html)."""
     found = stage(templates(pages, min_pages), "html-templates")
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), _host(F.col("url")).alias("host"))
-    known = found.select(F.col("host").alias("h"), "tokens", "places")
-    both = rows.join(F.broadcast(known) if found.count() <= broadcast_hosts else known, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "tokens", "places")
+    known = found.select(F.col("host").alias("h"), "tokens", "classes", "places")
+    both = rows.join(F.broadcast(known) if found.count() <= broadcast_hosts else known, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "tokens", "classes", "places")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                html, tokens, places = (part.column(i).to_pylist() for i in (2, 3, 4))
-                texts = [extract(h or "", dict(zip(t, np.argsort(np.argsort(p, kind="stable"), kind="stable").tolist())) if t else None) for h, t, p in zip(html, tokens, places)]
+                html, tokens, classes, places = (part.column(i).to_pylist() for i in (2, 3, 4, 5))
+                texts = [extract(h or "", dict(zip(t, zip(c, p))) if t else None) for h, t, c, p in zip(html, tokens, classes, places)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return both.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
