@@ -243,3 +243,21 @@ def test_html_templates_bear_empty_pages_and_layouts(spark):
     assert len(got) == len(rows)
     assert all(got[i] == f"T {i}\nBody {i} words" and got[100 + i] == f"U {i}\nText {i} words" for i in range(20))
     assert got[200] == got[201] == "" and got[202] == "Error 500"
+
+
+def test_prefix_links_bear_repeated_rows(spark):
+    rng = random.Random(5)
+    base = words(rng, 80).split()
+    texts = []
+    for _ in range(30):
+        w = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            w[rng.randrange(len(w))] = words(rng, 1)
+        texts.append(" ".join(w))
+    rows = [(i, t) for i, t in enumerate(texts) for _ in range(1 + (i % 3 == 0))]
+    ids = spark.createDataFrame([(i,) for i in range(30)], "id long")
+    sets = minhash._sets_of(ids, spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    got = {(r.u, r.v) for r in minhash._prefix_links(ids.withColumn("c", ids.id), sets, 75).collect()}
+    found = {i: minhash.shingle_set(t) for i, t in enumerate(texts)}
+    want = {(a, b) for a, b in itertools.combinations(found, 2) if 100 * len(np.intersect1d(found[a], found[b])) >= 75 * len(np.union1d(found[a], found[b]))}
+    assert got == want

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, discard, mix64, semi_by_id, stage
+from .common import BROADCAST_ROWS, arrow_map, discard, mix64, semi_by_id, stage
 from .components import connected_components
 
 SEED = 20240229
@@ -143,10 +143,17 @@ def _alike(pairs: DataFrame, sketches: DataFrame, cut: float) -> DataFrame:
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(id, s) of the documents of ids(id), whose texts are read again."""
+    """(id, s) of the documents of ids(id), whose texts are read again; repeated rows of a set give one."""
     ids = stage(ids.select(F.col("id").alias("doc_id")).distinct(), "near-ids")
     sets = stage(_full_sets(semi_by_id(docs, ids, "doc_id"), width), "near-sets")
     discard(docs.sparkSession, ids)
+    again = stage(sets.groupBy("id", F.xxhash64("s").alias("f")).agg(F.count("*").alias("c")).where("c > 1").select("id").distinct(), "near-again")
+    if n := again.count():
+        rows = sets
+        small = F.broadcast(again) if n <= BROADCAST_ROWS else again
+        sets = stage(rows.join(small, "id", "left_anti").unionByName(rows.join(small, "id", "left_semi").distinct()), "near-sets")
+        discard(docs.sparkSession, rows)
+    discard(docs.sparkSession, again)
     return sets
 
 
@@ -166,20 +173,20 @@ def _prefix_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     variants of one text that fall short of the similarity, which differ by shingles of their own, don't meet.
     """
     t = percent / 100
-    tokens = sets.join(rest, "id").select("id", "c", F.size("s").alias("n"), F.explode("s").alias("t"))
+    tokens = sets.join(rest, "id").select("id", F.xxhash64("s").alias("f"), "c", F.size("s").alias("n"), F.explode("s").alias("t"))  # f tells sets of one id apart
     shared = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
-    own = tokens.join(shared, "t").groupBy("id", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
+    own = tokens.join(shared, "t").groupBy("id", "f", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
     alone = F.col("n") - F.size("ts")  # shingles of this document only come first in the order
     length = lambda least: F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1 - alone)
-    own = own.select("id", "c", "n", alone.alias("first"), F.transform(F.slice("ts", F.lit(1), length(t)), lambda x: x["t"]).alias("prefix"), length(2 * t / (1 + t)).alias("index"), F.transform("ts", lambda x: x["t"]).alias("s"))
+    own = own.select("id", "f", "c", "n", alone.alias("first"), F.transform(F.slice("ts", F.lit(1), length(t)), lambda x: x["t"]).alias("prefix"), length(2 * t / (1 + t)).alias("index"), F.transform("ts", lambda x: x["t"]).alias("s"))
     own = stage(own, "near-own")
-    posts = own.select("id", "c", "n", "first", "index", F.posexplode("prefix").alias("k", "t"))
+    posts = own.select("id", "f", "c", "n", "first", "index", F.posexplode("prefix").alias("k", "t"))
     mixed = posts.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.col("k") < F.col("index")).alias("indexed")).where("lo < hi and indexed").select("t")
-    posts = stage(posts.join(mixed, "t").select("id", "c", "n", "index", "k", (F.col("first") + F.col("k")).alias("at"), "t"), "near-posts")
-    arrays = own.select("id", "s")
+    posts = stage(posts.join(mixed, "t").select("id", "f", "c", "n", "index", "k", (F.col("first") + F.col("k")).alias("at"), "t"), "near-posts")
+    arrays = own.select("id", "f", "s")
     if (own.agg(F.sum(F.size("s"))).first()[0] or 0) <= BROADCAST_SHINGLES:
         arrays = F.broadcast(arrays)  # joined behind the exchange by shingle, so no array is shuffled
-    whole = posts.repartition("t").join(arrays, "id")
+    whole = posts.repartition("t").join(arrays, ["id", "f"])
     x = whole.select("t", *[F.col(k).alias(f"x_{k}") for k in ("id", "c", "n", "at", "s")])
     y = whole.where("k < index").select(F.col("t").alias("u"), *[F.col(k).alias(f"y_{k}") for k in ("id", "c", "n", "at", "s")])
     need = F.ceil((F.col("x_n") + F.col("y_n")) * (t / (1 + t)) - 1e-9)
