@@ -83,3 +83,12 @@ def test_metrics_known_answer(spark):
     got = {r.entity_type: r for r in E.category_metrics(truth, pred).collect()}
     assert len(got) == 9 and (got["PERSON"].tp, got["PERSON"].fp, got["EMAIL_ADDRESS"].fn, got["PERSON"].f1) == (1, 1, 1, 0.6667)
     assert E.micro_macro(E.category_metrics(truth, pred)).first().tp == 1
+
+
+def test_mapping_has_no_repeats_and_is_safe(spark):
+    values = {"IP_ADDRESS": lambda i: f"10.0.{i % 250}.{i // 250 + 1}", "SSN": lambda i: f"123-45-{1000 + i}", "DATE_OF_BIRTH": lambda i: f"{i % 28 + 1:02}/{i // 28 % 12 + 1:02}/{1950 + i // 336}", "PHONE_NUMBER": lambda i: f"+1 415 555 {1000 + i}", "ORGANIZATION": lambda i: f"Kingfisher Labs {i} Inc", "PERSON": lambda i: f"Parker Quarry{i}", "EMAIL_ADDRESS": lambda i: f"mail{i}@corp.com", "NEW_KIND": lambda i: f"value {i}"}
+    rows = [(1, entity, value(i), i, k, 0) for k, (entity, value) in enumerate(values.items()) for i in range(900)]
+    det = spark.createDataFrame(rows, "doc_id long, entity_type string, text string, paragraph_index int, start int, ord int")
+    mapping = M.entity_map(det).cache()
+    assert mapping.count() == len(rows) == mapping.select("entity_type", "replacement").distinct().count()
+    assert mapping.where(~M.safe(F.col("entity_type"), F.col("replacement"), F.col("original"))).count() == 0

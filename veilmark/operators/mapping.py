@@ -36,7 +36,7 @@ def link_persons(keys: DataFrame) -> DataFrame:
 
 
 def entity_map(detections: DataFrame) -> DataFrame:
-    """Keys with seed hash, collision rank and a replacement unique within document and category."""
+    """Keys with seed hash, collision rank and a safe replacement unique within document and category."""
     keys = first_seen(detections)
     keys = keys.withColumn("seed_hash", G.seed_hash(F.col("normalized"), F.col("entity_type")))
     links = link_persons(keys)
@@ -46,7 +46,38 @@ def entity_map(detections: DataFrame) -> DataFrame:
     keys = keys.withColumn("candidate", F.when(F.col("person").isNotNull(), linked).otherwise(plain))
     rank = Window.partitionBy("doc_id", "entity_type", "candidate").orderBy("creation_index")
     keys = keys.withColumn("collision_rank", F.row_number().over(rank))
-    return keys.withColumn("replacement", spread(F.col("entity_type"), F.col("normalized"), F.col("candidate"), F.col("collision_rank"), F.col("seed_hash")))
+    keys = keys.withColumn("replacement", spread(F.col("entity_type"), F.col("normalized"), F.col("candidate"), F.col("collision_rank"), F.col("seed_hash")))
+    return distinct_and_safe(keys)
+
+
+def distinct_and_safe(keys: DataFrame, redraws: int = 4) -> DataFrame:
+    """Keys whose replacements repeat or are unsafe get new ones.
+
+    A repeated or unsafe value is drawn anew in its format up to redraws times, earlier draws keeping theirs. What is
+    unsafe then takes the fallback of its category, and what repeats then a suffix with its creation_index, which no
+    drawn value and no other key of the document ends with.
+    """
+    entity, value = F.col("entity_type"), F.col("replacement")
+    rank = F.row_number().over(Window.partitionBy("doc_id", "entity_type", "replacement").orderBy("draws", "creation_index"))
+    is_safe = safe(entity, value, F.col("original"))
+    keys = keys.withColumn("draws", F.when(F.col("collision_rank") > 1, 1).otherwise(0))
+    for k in range(redraws):
+        keys = keys.withColumn("again", (rank > 1) | ~is_safe)
+        drawn = G.replacement(entity, F.col("normalized"), F.sha2(F.concat(F.col("seed_hash"), F.lit(f"_v{k + 1}")), 256))
+        keys = keys.withColumn("replacement", F.when(F.col("again"), drawn).otherwise(value)).withColumn("draws", F.when(F.col("again"), k + 2).otherwise(F.col("draws")))
+    keys = keys.withColumn("replacement", F.when(is_safe, value).otherwise(fallback(entity, F.col("creation_index"))))
+    keys = keys.withColumn("again", rank > 1)
+    index = F.col("creation_index").cast("string")
+    suffixed = F.when(entity == "EMAIL_ADDRESS", F.concat_ws("@", F.concat(F.split(value, "@")[0], F.lit("."), index), F.split(value, "@")[1])).otherwise(F.concat(value, F.lit(" "), index))
+    return keys.withColumn("replacement", F.when(F.col("again"), suffixed).otherwise(value)).drop("again", "draws")
+
+
+def fallback(entity, index):
+    """A synthetic value without any token of an original."""
+    i = index.cast("string")
+    named = F.when(entity == "PERSON", F.concat(F.lit("Synthetic Person "), i)).when(entity == "ORGANIZATION", F.concat(F.lit("Nexgen Solutions "), i, F.lit(" Corp"))).when(entity == "ADDRESS", F.concat(F.lit("Plot "), i, F.lit(", Synthetic Avenue, Test City")))
+    named = named.when(entity == "EMAIL_ADDRESS", F.concat(F.lit("contact."), i, F.lit("@example.com"))).when(entity == "PHONE_NUMBER", F.concat(F.lit("+1-212-555-"), F.format_string("%04d", index)))
+    return named.otherwise(F.concat(F.lit("SYNTHETIC_"), entity, F.lit("_"), i))
 
 
 def spread(entity, key, candidate, rank, hashed):
