@@ -19,10 +19,12 @@ _OWN_DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and the master is local (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="veilmark-")
@@ -52,6 +54,43 @@ def discard(spark: SparkSession, *tables: DataFrame | str | None) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Remembered:
+    """Answers of a Python worker by word, bounded by bytes; what is forgotten is asked for again, so results don't depend on it.
+
+    A word is kept from its second sighting on (a table of marks remembers the first, and may take one word for
+    another, which only keeps a word early); words over LONGEST characters are not kept. Beyond the bound the older half goes.
+    """
+
+    ENTRY, LETTER, LONGEST = 180, 6, 256  # bytes of a key, its value and their place: fixed, and at most for each character
+
+    def __init__(self, limit: int = 48_000_000, marks: int = 1 << 22):
+        self.known: dict = {}
+        self.limit, self.size, self.marks, self.first = limit, 0, bytearray(marks), 0
+
+    def _bytes(self) -> int:
+        return self.ENTRY * len(self.known) + self.LETTER * sum(map(len, self.known))
+
+    def keep(self, found: dict) -> None:
+        """Keep the answers of found that were met before."""
+        known, marks, mask, before, letters = self.known, self.marks, len(self.marks) - 1, len(self.known), 0
+        for word, answer in found.items():
+            at = hash(word) & mask
+            if not marks[at]:
+                marks[at] = 1
+            elif len(word) <= self.LONGEST:
+                known[word] = answer
+                letters += len(word)
+        self.first += len(found) - len(known) + before
+        self.size += self.ENTRY * (len(known) - before) + self.LETTER * letters
+        if self.first > len(marks) // 4:
+            self.marks, self.first = bytearray(len(marks)), 0
+        if self.size > self.limit:
+            newer = list(known.items())[len(known) // 2 :]
+            known.clear()
+            known.update(newer)
+            self.size = self._bytes()
+
+
 def semi_by_id(df: DataFrame, ids: DataFrame, key: str, rows: int | None = None) -> DataFrame:
     """Rows of df whose key is in ids (a staged table); broadcast below BROADCAST_ROWS, shuffled above."""
     rows = ids.count() if rows is None else rows

@@ -10,8 +10,9 @@ the pieces, ranked inside their length, take the patterns' places in order.
 Only the histogram and the patterns, both bounded by capacity / grain, reach the driver. Ranks come from counts
 by (length, hash bucket), so one very common length spreads over all tasks.
 
-Defined cases: null text counts as empty and packs its end id alone; repeated rows are packed
-each; an empty table gives no rows.
+Defined cases: null text counts as empty and packs its end id alone; repeated rows and rows with null doc_id are packed
+each; a text of any length is cut into full sequences and one remainder; other columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -25,9 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, stage
+from .common import Remembered, arrow_map, stage
 
-WORDS_KEPT = 250_000
 _LETTERS = "a-zªµºß-öø-ÿ"
 _NUMBERS = "0-9²³¹¼½¾"
 
@@ -36,50 +36,67 @@ class WordTokens:
     """Ids of whole texts as the tokenizers library gives them, with the words remembered.
 
     The vocabulary splits a normalised text into words that encode independently, so over plain Latin-1
-    texts each distinct word goes through the library once; any other text goes through it whole.
+    texts a word goes through the library until it is remembered; any other text goes through it whole.
     """
 
     plain = re.compile(r"[\t\n\r\x20-\x7e\xa0-\xff]*").fullmatch
     split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+").findall
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.special = sorted(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.words: dict[str, bytes] = {}
+        #: The same model for words that are cut and lower-cased already.
+        self.cut = Tokenizer.from_str(self.library.to_str())
+        self.cut.normalizer = normalizers.Sequence([])
+        self.cut.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words = Remembered()
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ask_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word: many words go through the library as one text, cut again behind the ids that end a word."""
+        lines = [" ".join(words[k : k + 256]) for k in range(0, len(words), 256)]
+        ids = np.concatenate([np.asarray(e.ids, "<u4") for e in self.cut.encode_batch_fast(lines, add_special_tokens=False)])
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(cuts) != len(words) or cuts[-1] != 4 * len(ids):
+            return self._ask(words)  # a vocabulary whose words don't end in a mark
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip([0, *cuts], cuts)]
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out: list[bytes] = [b""] * len(texts)
-        at = 0
+        at, get = 0, self.words.known.get
         while at < len(texts):
             found, gaps, size = {}, [], 0
-            get = self.words.get
             while at < len(texts) and size < 1_000_000:
                 text = texts[at] or ""
                 if self.plain(text) and not any(s in text for s in self.special):
                     words = self.split(text.lower())
                     found[at] = ids = list(map(get, words))  # one look-up a word: the costly part
-                    if None in ids:
-                        gaps += [(ids, k, words[k]) for k, known in enumerate(ids) if known is None]
+                    k = -1
+                    for _ in range(ids.count(None)):
+                        k = ids.index(None, k + 1)
+                        gaps.append((ids, k, words[k]))
                 else:
                     out[at] = self._ask([text])[0]
                 size += len(text)
                 at += 1
             new = list({w for _, _, w in gaps})
-            learnt = dict(zip(new, self._ask(new))) if new else {}
+            learnt = dict(zip(new, self._ask_words(new))) if new else {}
             for ids, k, w in gaps:
                 ids[k] = learnt[w]
-            if len(self.words) < WORDS_KEPT:
-                self.words |= learnt
             for k, ids in found.items():
                 out[k] = b"".join(ids)
+            self.words.keep(learnt)
         return out
 
 
