@@ -259,8 +259,12 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, grai
     each = np.array([p[3] for p in plan], np.int64)
     first = np.array([p[4] for p in plan], np.int64)
 
-    before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("size"), F.col("bucket"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    # Pieces of a size before a bucket: first by groups of 32 buckets, then inside the group, so no task reads all buckets of a size.
+    counts = counts.withColumn("part", F.floor(F.col("bucket") / 32).cast("int"))
+    above = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("size", "part").agg(F.sum("count").alias("n")).select("size", "part", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"))
+    before = Window.partitionBy("size", "part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.join(parts, ["size", "part"]).select("size", "bucket", (F.col("above") + F.coalesce(F.sum("count").over(before), F.lit(0))).alias("before"))
     inside = Window.partitionBy("size", "bucket").orderBy("doc_id", "start", "ids_crc32", "length")
     ranked = pieces.withColumn("n", F.row_number().over(inside)).join(offsets, ["size", "bucket"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "size", (F.col("before") + F.col("n") - 1).alias("rank"))
