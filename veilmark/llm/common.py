@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Ids are broadcast up to this many rows (8 bytes each); beyond it the join shuffles.
+#: Ids and other short rows are broadcast up to this many (8 to 24 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
 _OWN_DIR: dict[str, str] = {}
@@ -91,10 +91,15 @@ class Remembered:
             self.size = self._bytes()
 
 
+def small(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """A staged table of short rows as one side of a join: broadcast up to BROADCAST_ROWS, shuffled beyond."""
+    rows = table.count() if rows is None else rows
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table.hint("merge")
+
+
 def semi_by_id(df: DataFrame, ids: DataFrame, key: str, rows: int | None = None) -> DataFrame:
-    """Rows of df whose key is in ids (a staged table); broadcast below BROADCAST_ROWS, shuffled above."""
-    rows = ids.count() if rows is None else rows
-    return df.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids, key, "left_semi")
+    """Rows of df whose key is in ids (a staged table)."""
+    return df.join(small(ids, rows), key, "left_semi")
 
 
 def arrow_map(df: DataFrame, rows: Callable[[dict], dict], schema: str, arrow: pa.Schema) -> DataFrame:

@@ -7,13 +7,17 @@ sharing a band of `rows` minima are candidates. A bucket never emits all its pai
 pairs its members with one head; the pairs pass a size bound and the signature, and only then are the
 full sets compared; links go to connected components. Members of a bucket that still lie in several components
 after these rounds (variants just short of the similarity, texts that share a passage) go through an exact prefix-filter join
-over their shingles, so no pair of a bucket is lost: each is compared, connected, or proven below the similarity.
+over their shingles, so no pair of a bucket is lost: each is compared, connected, or proven below the similarity. That join moves
+ids, sizes and one bitmap a document, never the sets; a shingle in the prefixes of very many documents is dealt in shares; what size,
+position and bitmap leave of the pairs is compared on the full sets.
 
 With 32 bands of 4 rows a pair of similarity 0.75 shares no band with probability below 6e-6, and one in
 about 10,000 such pairs falls under the signature cut of four standard deviations.
 
 Defined cases: null or empty text, or text without words, has an empty set and links with nothing;
-a null doc_id links with nothing; repeated rows of one doc_id are one node of the graph.
+a null doc_id links with nothing; repeated rows of one doc_id are one node of the graph, linked by any of its texts; texts of any length are
+read whole; columns other than doc_id and text are ignored; an empty table gives no rows. More than 60 rounds of components raise an error
+(their number grows with the logarithm of a component's size).
 """
 
 from __future__ import annotations
@@ -28,12 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow_map, discard, mix64, semi_by_id, stage
+from .common import arrow_map, discard, mix64, semi_by_id, small, stage
 from .components import connected_components
 
 SEED = 20240229
-#: Shingle arrays are broadcast up to this many 64-bit shingles in all (64 MB); beyond it they are shuffled.
-BROADCAST_SHINGLES = 8_000_000
+#: Longs of a set's bitmap, and how many documents' places of one shingle meet in one share of the prefix join.
+BITMAP, SHARE = 16, 512
 
 
 class _WordHashes(dict):
@@ -125,6 +129,20 @@ def _full_sets(docs: DataFrame, width: int) -> DataFrame:
     return arrow_map(docs, sets, "id long, s array<long>", pa.schema([("id", pa.int64()), ("s", pa.list_(pa.int64()))]))
 
 
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """(id, f, bits) of sets(id, f, s): bit k is the parity of the shingles that fall on it, so two bitmaps differ in at most as many bits as the sets in shingles."""
+
+    def run(batches):
+        for batch in batches:
+            bits = []
+            for x in batch.column(2):
+                at = (x.values.to_numpy().view(np.uint64) >> np.uint64(7)) & np.uint64(64 * BITMAP - 1)
+                bits.append(np.packbits((np.bincount(at.astype(np.int64), minlength=64 * BITMAP) & 1).astype(np.uint8)).view("<i8"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.list_(pa.int64()))], names=["id", "f", "bits"])
+
+    return sets.mapInArrow(run, "id long, f long, bits array<long>")
+
+
 def _alike(pairs: DataFrame, sketches: DataFrame, cut: float) -> DataFrame:
     """Pairs (a, b) whose signatures agree in at least the share cut of their minima."""
     both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
@@ -148,10 +166,9 @@ def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     sets = stage(_full_sets(semi_by_id(docs, ids, "doc_id"), width), "near-sets")
     discard(docs.sparkSession, ids)
     again = stage(sets.groupBy("id", F.xxhash64("s").alias("f")).agg(F.count("*").alias("c")).where("c > 1").select("id").distinct(), "near-again")
-    if n := again.count():
-        rows = sets
-        small = F.broadcast(again) if n <= BROADCAST_ROWS else again
-        sets = stage(rows.join(small, "id", "left_anti").unionByName(rows.join(small, "id", "left_semi").distinct()), "near-sets")
+    if not again.isEmpty():
+        rows, few = sets, small(again)
+        sets = stage(rows.join(few, "id", "left_anti").unionByName(rows.join(few, "id", "left_semi").distinct()), "near-sets")
         discard(docs.sparkSession, rows)
     discard(docs.sparkSession, again)
     return sets
@@ -166,36 +183,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefix_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All links (u, v) of rest(id, c) across components, found by prefixes and decided on the full sets in the join.
+    """All links (u, v) of rest(id, c) across components: candidates by prefixes and bitmaps, decided on the full sets.
 
     Shingles are ordered by frequency among these documents, rarest first. Of two linked documents, the larger
     shares with its prefix one of the smaller's; shingles of one document or one component alone give no pair. So
-    variants of one text that fall short of the similarity, which differ by shingles of their own, don't meet.
+    variants of one text that fall short of the similarity, which differ by shingles of their own, don't meet. A pair that
+    meets is a candidate if the shared shingles left before and after the meeting, and the bits in which the bitmaps
+    differ, still allow the similarity.
     """
     t = percent / 100
-    tokens = sets.join(rest, "id").select("id", F.xxhash64("s").alias("f"), "c", F.size("s").alias("n"), F.explode("s").alias("t"))  # f tells sets of one id apart
-    shared = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
-    own = tokens.join(shared, "t").groupBy("id", "f", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
-    alone = F.col("n") - F.size("ts")  # shingles of this document only come first in the order
+    rows = sets.join(small(rest), "id").select("id", F.xxhash64("s").alias("f"), "c", F.size("s").alias("n"), "s")  # f tells sets of one id apart
+    shared = stage(rows.select(F.explode("s").alias("t")).groupBy("t").agg(F.count("*").cast("int").alias("df")).where("df > 1"), "near-shared")
+    tokens = rows.select("id", "f", "c", "n", "s").repartition("id", "f").select("id", "f", "c", "n", F.explode("s").alias("t"))
+    own = tokens.join(small(shared), "t").groupBy("id", "f", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
+    alone = F.col("n") - F.size("ts")  # shingles of this document only come first in the order and are never shared
     length = lambda least: F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1 - alone)
-    own = own.select("id", "f", "c", "n", alone.alias("first"), F.transform(F.slice("ts", F.lit(1), length(t)), lambda x: x["t"]).alias("prefix"), length(2 * t / (1 + t)).alias("index"), F.transform("ts", lambda x: x["t"]).alias("s"))
-    own = stage(own, "near-own")
-    posts = own.select("id", "f", "c", "n", "first", "index", F.posexplode("prefix").alias("k", "t"))
-    mixed = posts.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.col("k") < F.col("index")).alias("indexed")).where("lo < hi and indexed").select("t")
-    posts = stage(posts.join(mixed, "t").select("id", "f", "c", "n", "index", "k", (F.col("first") + F.col("k")).alias("at"), "t"), "near-posts")
-    arrays = own.select("id", "f", "s")
-    if (own.agg(F.sum(F.size("s"))).first()[0] or 0) <= BROADCAST_SHINGLES:
-        arrays = F.broadcast(arrays)  # joined behind the exchange by shingle, so no array is shuffled
-    whole = posts.repartition("t").join(arrays, ["id", "f"])
-    x = whole.select("t", *[F.col(k).alias(f"x_{k}") for k in ("id", "c", "n", "at", "s")])
-    y = whole.where("k < index").select(F.col("t").alias("u"), *[F.col(k).alias(f"y_{k}") for k in ("id", "c", "n", "at", "s")])
+    own = own.select("id", "f", "c", "n", F.size("ts").alias("m"), F.transform(F.slice("ts", F.lit(1), length(t)), lambda x: x["t"]).alias("prefix"), length(2 * t / (1 + t)).alias("index")).where(F.size("prefix") > 0)
+    own = stage(own.join(_bitmaps(rows.select("id", "f", "s")), ["id", "f"]), "near-own")
+    posts = own.select("id", "c", "n", "m", "index", "bits", F.posexplode("prefix").alias("k", "t"))
+    mixed = posts.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.col("k") < F.col("index")).alias("indexed"), F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    mixed = stage(mixed.where("lo < hi and indexed").select("t", "shares"), "near-mixed")
+    names = ["id", "c", "n", "m", "k"]
+    posts = posts.join(small(mixed), "t").select("t", "shares", "index", *names, *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITMAP)])
+    names += [f"b{i}" for i in range(BITMAP)]
+    x = posts.select(F.col("t").alias("x_t"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("x_share"), *[F.col(c).alias(f"x_{c}") for c in names])
+    y = posts.where("k < index").select(F.col("t").alias("y_t"), F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("y_share"), *[F.col(c).alias(f"y_{c}") for c in names])
     need = F.ceil((F.col("x_n") + F.col("y_n")) * (t / (1 + t)) - 1e-9)
-    reach = F.least("x_at", "y_at") + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    reach = F.least("x_k", "y_k") + F.least(F.col("x_m") - F.col("x_k"), F.col("y_m") - F.col("y_k"))
     fits = (F.col("x_c") != F.col("y_c")) & (F.col("y_n") <= F.col("x_n")) & (100 * F.col("y_n") >= percent * F.col("x_n")) & (reach >= need)
-    linked = F.size(F.array_intersect("x_s", "y_s")) >= need  # shingles of one document only can't be shared
-    links = x.join(y, (F.col("t") == F.col("u")) & F.when(fits, linked).otherwise(F.lit(False)))
-    links = stage(links.select(F.least("x_id", "y_id").alias("u"), F.greatest("x_id", "y_id").alias("v")).distinct(), "near-links")
-    discard(sets.sparkSession, own, posts)
+    differ = sum((F.bit_count(F.col(f"x_b{i}").bitwiseXOR(F.col(f"y_b{i}"))) for i in range(1, BITMAP)), F.bit_count(F.col("x_b0").bitwiseXOR(F.col("y_b0"))))
+    close = F.col("x_n") + F.col("y_n") - differ >= 2 * need
+    pairs = x.join(y, (F.col("x_t") == F.col("y_t")) & (F.col("x_share") == F.col("y_share")) & F.when(fits, close).otherwise(F.lit(False)))
+    pairs = stage(pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct(), "near-pairs")
+    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
+    links = _verified(pairs, semi_by_id(sets, ids, "id"), percent)
+    discard(sets.sparkSession, shared, own, mixed, pairs, ids)
     return links
 
 
@@ -221,12 +243,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
     sketches = groups.select("id", "n", "sketch")
 
     members = groups.select("id", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    active = stage(members.join(shared, "key"), "near-buckets")
+    shared = stage(members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "near-keys")
+    active = stage(semi_by_id(members, shared, "key"), "near-buckets")
+    discard(docs.sparkSession, shared)
     links, part = [], None
     for turn in range(rounds + 1):
         rows_now = active.withColumn("c", F.col("id")) if part is None else active.join(part, active.id == part.node, "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
-        open_rows = stage(rows_now.join(_heads(rows_now), "key"), "near-open")
+        heads = stage(_heads(rows_now), "near-heads")
+        open_rows = stage(rows_now.join(small(heads), "key"), "near-open")
+        discard(docs.sparkSession, heads)
         discard(docs.sparkSession, active)
         if open_rows.isEmpty():
             break
@@ -256,10 +281,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, bands: i
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that near-duplicate detection keeps: one document a group."""
+    """The rows of docs, with all their columns, that near-duplicate detection keeps: one document a group.
+
+    Of repeated rows of one doc_id the one whose text has the smallest hash stays; rows with null doc_id all stay.
+    """
     judged = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
     ids = stage(judged.groupBy("doc_id").agg(F.count("*").alias("n")), "near-kept")
     kept = semi_by_id(docs, ids.select("doc_id"), "doc_id", ids.count())
-    if not ids.where("n > 1").isEmpty():  # repeated rows of one doc_id
-        kept = kept.dropDuplicates(["doc_id"])
+    again = ids.where("n > 1").select("doc_id")
+    if not again.isEmpty():
+        few = small(again)
+        one = kept.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("r"))
+        kept = kept.join(few, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("r.*"))
     return kept.unionByName(docs.where("doc_id is null"))
