@@ -8,9 +8,14 @@ No word and no bigram is left out or merged: each is told apart by a 64-bit hash
 corpus. Documents are taken in parts of many tokens; a part counts its words and bigrams and sends them, sorted and cut
 into key ranges, to one group a range, which sums all parts and answers each part for its own keys. So no table of the
 model stands in one place, a very common word costs one entry a part, and the ranges grow in number with the text.
+Keys travel as the bytes of their differences, place by place, which compress.
+
+With leave_own_out a trained document is scored by the models without its own counts, so it does not vouch for itself.
 
 Defined cases: null text counts as empty; without words the losses are null and score is 0; without
-target documents the target model is uniform; repeated rows count each; words the corpus lacks have count 0.
+target documents the target model is uniform; repeated rows count each; words the corpus lacks have count 0; there is no order among
+words, so no ties; texts of any length are read whole; a null doc_id is scored and is no target; columns other than doc_id and text are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,6 +46,16 @@ def _pack(x: np.ndarray) -> bytes:
     return pa.compress(x.tobytes(), "zstd", asbytes=True)
 
 
+def _pack_keys(x: np.ndarray) -> bytes:
+    """Ascending 64-bit keys: the bytes of their differences by place, since the high ones are mostly zero."""
+    return _pack(np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T))
+
+
+def _unpack_keys(data: bytes, n: int) -> np.ndarray:
+    places = _unpack(data, 8 * n, np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(places.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _unpack(data: bytes, n: int, kind: type) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind) if n else np.empty(0, kind)
 
@@ -72,7 +87,7 @@ class _Part:
 
     def __init__(self, row: dict):
         self.doc_id, self.lengths = row["doc_id"], np.array(row["length"], np.int64)
-        self.codes = np.frombuffer(row["codes"], np.uint64)
+        self.codes = _unpack_keys(row["codes"], row["n_codes"])
         self.words = _unpack(row["words"], int(self.lengths.sum()), np.int32)
         self.target = np.repeat(np.array(row["target"], bool), self.lengths)
         self.starts = (np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]
@@ -85,8 +100,8 @@ class _Part:
         return mix64(codes[:-1] * _STEP + codes[1:])[self.follows[1:]]
 
 
-_PARTS = "part long, doc_id array<long>, length array<int>, target array<int>, codes binary, words binary"
-_PARTS_ARROW = pa.schema([("part", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("length", pa.list_(pa.int32())), ("target", pa.list_(pa.int32())), ("codes", pa.binary()), ("words", pa.binary())])
+_PARTS = "part long, doc_id array<long>, length array<int>, target array<int>, n_codes int, codes binary, words binary"
+_PARTS_ARROW = pa.schema([("part", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("length", pa.list_(pa.int32())), ("target", pa.list_(pa.int32())), ("n_codes", pa.int32()), ("codes", pa.binary()), ("words", pa.binary())])
 
 
 def _parts(docs: DataFrame, slots: int) -> DataFrame:
@@ -94,7 +109,7 @@ def _parts(docs: DataFrame, slots: int) -> DataFrame:
 
     def row(number: int, ids: list, codes: list, target: list) -> pa.RecordBatch:
         found, words = np.unique(np.concatenate(codes), return_inverse=True)
-        cells = [number, ids, [len(c) for c in codes], target, found.tobytes(), _pack(words.astype(np.int32))]
+        cells = [number, ids, [len(c) for c in codes], target, len(found), _pack_keys(found), _pack(words.astype(np.int32))]
         return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, _PARTS_ARROW)], schema=_PARTS_ARROW)
 
     def run(batches):
@@ -116,7 +131,7 @@ def _parts(docs: DataFrame, slots: int) -> DataFrame:
     return stage(docs.select("doc_id", "text", "target").mapInArrow(run, _PARTS), "lm-parts")
 
 
-_POSTS = "bucket int, part long, asks boolean, keys binary, n binary, t binary"
+_POSTS = "bucket int, part long, asks boolean, size int, keys binary, n binary, t binary"
 
 
 def _posts(parts: DataFrame, buckets: int, counts: bool, asks: bool) -> DataFrame:
@@ -138,9 +153,10 @@ def _posts(parts: DataFrame, buckets: int, counts: bool, asks: bool) -> DataFram
                     cuts = [*np.searchsorted(keys, edges).tolist(), len(keys)]
                     spans = [(first + b, slice(i, j)) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
                     n, t = (x.astype(np.int32) * counts for x in (n, t))
-                    cells = [[b for b, _ in spans], [row["part"]] * len(spans), [asks] * len(spans), *([x[s].tobytes() for _, s in spans] for x in (keys, n, t))]
-                    kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], names=["bucket", "part", "asks", "keys", "n", "t"])
+                    sizes = [s.stop - s.start for _, s in spans]
+                    cells = [[b for b, _ in spans], [row["part"]] * len(spans), [asks] * len(spans), sizes, [_pack_keys(keys[s]) for _, s in spans], *([_pack(x[s]) for _, s in spans] for x in (n, t))]
+                    kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], names=["bucket", "part", "asks", "size", "keys", "n", "t"])
 
     return parts.mapInArrow(run, _POSTS)
 
@@ -152,9 +168,9 @@ _COUNTS_ARROW = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("size"
 def _range_counts(table: pa.Table) -> pa.Table:
     """Corpus counts of a key range for each part that asks, and a row without part for the range itself."""
     rows = table.to_pydict()
-    keys = [np.frombuffer(x, np.uint64) for x in rows["keys"]]
+    keys = [_unpack_keys(x, n) for x, n in zip(rows["keys"], rows["size"])]
     found, at = np.unique(np.concatenate(keys), return_inverse=True)
-    n, t = (np.bincount(at, np.frombuffer(b"".join(rows[c]), np.int32), len(found)).astype(np.int64) for c in ("n", "t"))
+    n, t = (np.bincount(at, np.concatenate([_unpack(x, k, np.int32) for x, k in zip(rows[c], rows["size"])]), len(found)).astype(np.int64) for c in ("n", "t"))
     out, start = [(None, rows["bucket"][0], int(np.count_nonzero(n)), None, None, int(n.sum()), int(t.sum()))], 0
     for part, asks, own in zip(rows["part"], rows["asks"], keys):
         mine = at[start : start + len(own)]
@@ -175,9 +191,19 @@ def train(docs: DataFrame, target_ids: DataFrame, slots: int = 1 << 20) -> Model
     return Models(docs, _parts(marked.select("doc_id", "text", F.coalesce("target", F.lit(0)).alias("target")), slots), slots)
 
 
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score) of every row of docs."""
+def _own(document: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How often each token's key stands in the token's own document."""
+    _, at, n = np.unique(document * (int(keys.max(initial=0)) + 1) + keys, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def score(docs: DataFrame, models: Models, leave_own_out: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score) of every row of docs.
+
+    leave_own_out holds for the documents the models were trained on, given as the same DataFrame.
+    """
     same = docs is models.docs
+    apart = leave_own_out and same
     asking = models.parts if same else _parts(docs.select(F.col("doc_id").cast("long"), "text", F.lit(0).alias("target")), models.slots)
     buckets = max(32, -(-(models.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
     posts = _posts(models.parts, buckets, True, same)
@@ -194,12 +220,17 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
             part = _Part(row)
             at = np.unique(part.pairs(), return_inverse=True)[1]
             before = np.flatnonzero(part.follows) - 1
+            document = np.repeat(np.arange(len(part.lengths)), part.lengths)
+            own = [_own(document, part.words), _own(document[part.follows], at), part.lengths[document]] if apart else [0, 0, np.zeros(len(document))]
             losses = []
             for name, total in (("t", sums[1]), ("n", sums[0])):
+                # What each token's own document has counted of its word, its bigram and all words.
+                in_word, in_pair, in_all = own if name == "n" or not apart else (own[0] * part.target, own[1] * part.target[part.follows], own[2] * part.target)
                 uni, bi = (np.concatenate([np.empty(0, np.int64), *(_unpack(r[name], r["size"], np.int64) for r in found if (r["bucket"] >= buckets) == kind)]) for kind in (False, True))
-                p = middle * uni[part.words] / max(1, total) + low / (size + 1)
-                context = uni[part.words[before]]
-                p[part.follows] += high * np.minimum(1, np.divide(bi[at], context, out=np.zeros(len(at)), where=context > 0))
+                words = uni[part.words] - in_word
+                p = middle * words / np.maximum(1, total - in_all) + low / (size + 1)
+                context = words[before]
+                p[part.follows] += high * np.minimum(1, np.divide(bi[at] - in_pair, context, out=np.zeros(len(at)), where=context > 0))
                 mean = np.full(len(part.lengths), np.nan)
                 if len(p):
                     mean[part.lengths > 0] = np.add.reduceat(-np.log(p), part.starts) / part.lengths[part.lengths > 0]

@@ -40,7 +40,7 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     target = _table(spark, sf_dir, "labels").where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
-    return lm_score.score(docs, lm_score.train(docs, target))
+    return lm_score.score(docs, lm_score.train(docs, target), leave_own_out=True)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
