@@ -2,13 +2,16 @@
 
 Archives are gzip files of WARC 1.1 records written by Spark's text writer (records end with the
 separator CRLF CRLF) and read by its binary reader, so any file system that Spark reaches will do; a file holds
-a bounded number of records and is parsed as a stream by Content-Length. Resolution reads the
+at most RECORDS_A_FILE records of SMALL bytes, or FILE_BYTES of larger ones, and is parsed as a stream by Content-Length. A file
+is one gzip member, so a reader goes through it from its start; there is no warcinfo record, and the date is DATE, since pages
+carry none. Resolution reads the
 headers alone, shuffles them by payload digest, takes the smallest id of each digest (combined
 map-side, so one very common payload costs a task one row) and joins revisits to it. The
 deduplicated archives get fresh headers: revisit records refer to the response and carry no payload.
 
 Defined cases: null html counts as an empty payload; a null url has no target header; of records with equal
-payload and equal page_id the one with the smallest record id is the response; null ids sort last.
+payload and equal page_id the one with the smallest record id is the response; null ids sort last; a page of any size is one record, up to the
+2 GB that a string of Spark holds; columns other than page_id, url and html are ignored; an empty table gives no records.
 """
 
 from __future__ import annotations
@@ -25,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, discard, scratch_path, stage
+from .common import discard, scratch_path, small, stage
 
 END = "\r\n\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-RECORDS_A_FILE = 4000
+RECORDS_A_FILE, SMALL, FILE_BYTES = 4000, 1 << 16, 1 << 28
 
 
 def payload_digest(payload: bytes) -> str:
@@ -76,12 +79,23 @@ def read_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, f.read(int(fields["content-length"]))
 
 
-def _write(records: DataFrame, path: str) -> None:
-    records.write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+def _write(records: DataFrame, path: str, most: int) -> None:
+    """Write records(value), at most so many a file."""
+    records.write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", most).text(path)
+
+
+def _kinds(largest: int) -> dict[str, int]:
+    """Folders of archives and how many records a file of theirs holds; records over SMALL bytes lie apart, where there are any."""
+    return {"small": RECORDS_A_FILE} | ({"large": max(1, FILE_BYTES // largest)} if largest > SMALL else {})
+
+
+def _bytes() -> F.Column:
+    """Bytes that a page's record does not exceed: payload, escaped url and headers."""
+    return F.coalesce(F.octet_length("html"), F.lit(0)) + 3 * F.coalesce(F.octet_length("url"), F.lit(0)) + 1500
 
 
 def _archives(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
 
 
 _HEADERS = "record_id string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -106,16 +120,21 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return _archives(spark, path).mapInArrow(parse, _HEADERS)
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """A response record for every row of pages(page_id, url, html)."""
+def write_archives(pages: DataFrame, path: str) -> int:
+    """A response record for every row of pages(page_id, url, html); the bytes that no record exceeds."""
 
     def records(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256).to_pylist()
+            for at in range(0, batch.num_rows, 64):
+                rows = batch.slice(at, 64).to_pylist()
                 yield pa.RecordBatch.from_pydict({"value": [response_record(r["page_id"], r["url"], r["html"], str(uuid.uuid5(uuid.NAMESPACE_URL, f"{r['page_id']} {r['k']}"))) for r in rows]}, schema=pa.schema([("value", pa.string())]))
 
-    _write(pages.select(F.col("page_id").cast("long"), "url", "html", F.monotonically_increasing_id().alias("k")).mapInArrow(records, "value string"), path)
+    largest = pages.agg(F.max(_bytes())).first()[0] or 0
+    numbered = pages.select(F.col("page_id").cast("long"), "url", "html", F.monotonically_increasing_id().alias("k"))
+    for kind, most in _kinds(largest).items():
+        rows = numbered.where(_bytes() <= SMALL if kind == "small" else _bytes() > SMALL)
+        _write(rows.mapInArrow(records, "value string"), f"{path}/{kind}", most)
+    return largest
 
 
 def resolve_revisits(headers: DataFrame, min_payload: int = 0) -> DataFrame:
@@ -127,20 +146,21 @@ def resolve_revisits(headers: DataFrame, min_payload: int = 0) -> DataFrame:
     return both.select("record_id", F.col("first.page_id").alias("refers_to"), F.col("first.record_id").alias("refers_id"))
 
 
-def write_deduplicated(spark: SparkSession, source: str, revisits: DataFrame, path: str) -> None:
+def write_deduplicated(spark: SparkSession, source: str, revisits: DataFrame, path: str, largest: int) -> None:
     """Copy archives with the revisits replaced; payloads are only shuffled where revisits are too many to broadcast."""
     arrow = pa.schema([("record_id", pa.string()), ("value", pa.string()), ("short", pa.string())])
 
     def split(batches):
         for batch in batches:
             for content in batch.column(0):
-                rows: list = []
+                rows, held = [], 0
                 for fields, block in read_records(content.as_py()):
                     head = "\r\n".join(["WARC/1.1", *(f"{k}: {v}" for k, v in fields.items())])
                     rows.append((fields["warc-record-id"], head + END + block.decode("utf-8", "surrogatepass"), head))
-                    if len(rows) == 128:
+                    held += len(block)
+                    if len(rows) == 128 or held > 8_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], schema=arrow)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], schema=arrow)
 
@@ -154,11 +174,12 @@ def write_deduplicated(spark: SparkSession, source: str, revisits: DataFrame, pa
                 out.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    records = _archives(spark, source).mapInArrow(split, "record_id string, value string, short string")
-    small = revisits.count() <= BROADCAST_ROWS
-    both = records.join(F.broadcast(revisits) if small else revisits, "record_id", "left")
-    both = both.select(F.when(F.col("refers_id").isNull(), F.col("value")).alias("value"), F.when(F.col("refers_id").isNotNull(), F.col("short")).alias("short"), "refers_to", "refers_id")
-    _write(both.mapInArrow(fresh, "value string"), path)
+    repeats = small(revisits)
+    for kind, most in _kinds(largest).items():
+        records = _archives(spark, f"{source}/{kind}").mapInArrow(split, "record_id string, value string, short string")
+        both = records.join(repeats, "record_id", "left")
+        both = both.select(F.when(F.col("refers_id").isNull(), F.col("value")).alias("value"), F.when(F.col("refers_id").isNotNull(), F.col("short")).alias("short"), "refers_to", "refers_id")
+        _write(both.mapInArrow(fresh, "value string"), f"{path}/{kind}", most)
 
 
 def warc_dedup(pages: DataFrame, min_payload: int = 0) -> tuple[DataFrame, str]:
@@ -168,9 +189,9 @@ def warc_dedup(pages: DataFrame, min_payload: int = 0) -> tuple[DataFrame, str]:
     """
     spark = pages.sparkSession
     raw, done = scratch_path(spark, "warc-raw"), scratch_path(spark, "warc-dedup")
-    write_archives(pages, raw)
+    largest = write_archives(pages, raw)
     headers = stage(read_headers(spark, raw).select("record_id", "page_id", "payload_bytes", "payload_digest"), "warc-headers")
     revisits = stage(resolve_revisits(headers, min_payload), "warc-revisits")
-    write_deduplicated(spark, raw, revisits, done)
+    write_deduplicated(spark, raw, revisits, done, largest)
     discard(spark, raw, headers, revisits)
     return read_headers(spark, done), done
