@@ -7,16 +7,23 @@ n-gram as a bitmask. A text's n-grams are popcounted per language, the counts ar
 false-positive rate, and the largest share decides.
 
 The sample of labelled rows is bounded by max_train_docs (a documented parameter; rows are taken by a
-hash of their id); prediction reads whole texts of all rows. The model's size is fixed by slots.
+hash of their id); prediction reads whole texts of all rows. The model's size is fixed by slots; the n-grams that reach the driver are
+those of the sample that occur min_count times or more, so they are bounded by the sample's texts. A language whose sampled texts
+hold no n-gram min_count times is not learned.
+
+A text's words are joined once and its n-grams taken in pieces of the code points, each n-gram in the piece where it starts, so memory
+stays bounded and a score does not depend on the pieces.
 
 Defined cases: null text, or text without letters, is `und` with score 0; where no n-gram counts
 for any language the most common learned language is returned with score 0; without any learned language all
-rows are `und`.
+rows are `und`; of languages with equal counts the first by name wins; rows with null lang or null text teach nothing; repeated rows are predicted
+each; columns other than doc_id, text and lang are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
 
@@ -31,19 +38,23 @@ UNKNOWN = "und"
 _GAP = re.compile(r"[\W\d_]+").sub
 _SIZES = (2, 3, 4)
 _STEP = np.uint64(0x100000001B3)
+#: Code points of a text whose n-grams are held at once.
+PIECE = 1 << 17
 
 
-def _grams(text: str) -> np.ndarray:
-    """64-bit codes of the n-grams of the letters of a text, words apart by one space."""
-    points = np.frombuffer(f" {_GAP(' ', text.lower())} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    out, acc = [], np.zeros(len(points), np.uint64)
-    for n in range(1, _SIZES[-1] + 1):
-        if len(points) < n:
-            break
-        acc = acc[: len(points) - n + 1] * _STEP + points[n - 1 :] + np.uint64(1)
-        if n in _SIZES:
-            out.append(acc * np.uint64(8) + np.uint64(n))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+def _grams(text: str, piece: int = PIECE) -> Iterator[np.ndarray]:
+    """64-bit codes of the n-grams of the letters of a text, words apart by one space, by the piece in which they start."""
+    whole = np.frombuffer(f" {_GAP(' ', text.lower())} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    for at in range(0, len(whole), piece):
+        points = whole[at : at + piece + _SIZES[-1] - 1].astype(np.uint64)
+        out, acc = [], np.zeros(len(points), np.uint64)
+        for n in range(1, _SIZES[-1] + 1):
+            if len(points) < n:
+                break
+            acc = acc[: len(points) - n + 1] * _STEP + points[n - 1 :] + np.uint64(1)
+            if n in _SIZES:
+                out.append(acc[:piece] * np.uint64(8) + np.uint64(n))
+        yield np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def _has_letter(text: str | None) -> bool:
@@ -79,8 +90,7 @@ class Filters:
     def hits(self, text: str) -> tuple[np.ndarray, int]:
         """Per-language popcounts corrected for false positives, and the number of n-grams."""
         total, n = np.zeros(len(self.languages)), 0
-        for at in range(0, len(text), 200_000):  # whole text, in pieces that overlap by the longest n-gram
-            grams = _grams(text[max(0, at - _SIZES[-1] + 1) : at + 200_000] if at else text[:200_000])
+        for grams in _grams(text):
             masks = self.lookup(grams)
             n += len(grams)
             for k in range(len(self.languages)):
@@ -108,14 +118,21 @@ def train(docs: DataFrame, max_train_docs: int = 12_000, slots: int = 1 << 20, h
     def count(cols: dict) -> dict:
         out: dict = {"lang": [], "gram": [], "n": []}
         by: dict[str, list[np.ndarray]] = {}
-        for text, lang in zip(cols["text"], cols["lang"]):
-            if _has_letter(text):
-                by.setdefault(lang, []).append(_grams(text))
-        for lang, grams in by.items():
+
+        def emit(lang: str, grams: list[np.ndarray]) -> None:
             gram, times = np.unique(np.concatenate(grams), return_counts=True)
             out["lang"] += [lang] * len(gram)
             out["gram"].append(gram.view(np.int64))
             out["n"].append(times.astype(np.int64))
+
+        for text, lang in zip(cols["text"], cols["lang"]):
+            if _has_letter(text):
+                for grams in _grams(text):
+                    by.setdefault(lang, []).append(grams)
+                    if sum(map(len, by[lang])) > 4 * PIECE:
+                        emit(lang, by.pop(lang))
+        for lang, grams in by.items():
+            emit(lang, grams)
         return {"lang": out["lang"], **{c: np.concatenate(out[c]) if out[c] else np.empty(0, np.int64) for c in ("gram", "n")}}
 
     counts = arrow_map(labelled.select("text", "lang"), count, "lang string, gram long, n long", pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())]))
