@@ -3,16 +3,18 @@
 A text splits into words by the vocabulary's pattern. For each word not met before, greedy
 longest match proposes tokens; a proposal is the BPE encoding exactly when every token encodes to
 itself and every adjacent pair encodes to that pair, so one vectorised look-up over all adjacent
-pairs of a batch verifies the proposals, and only failing words go through exact merging. The answer
-for each pair and each word is remembered, up to a bounded number.
+pairs of a batch verifies the proposals, and only failing words go through exact merging, in n log n steps
+for a word of any length. The answer for each pair and each word is remembered, up to a bounded size.
 
 Defined cases: null text counts as empty and has no tokens; the special token's string in a
-text is that token; repeated rows and extra columns change nothing.
+text is that token; texts and words of any length are encoded whole; repeated rows are encoded each, extra columns change
+nothing, and an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 
@@ -22,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import Remembered, arrow_map
 
 # Fixed value: the public byte-level pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -31,7 +33,6 @@ _NUMBERS = "0-9²³¹¼½¾"
 #: The same pattern over the characters of PLAIN, where the standard library's engine is faster.
 PLAIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+"
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-\xff]*")
-WORDS_KEPT = 350_000
 PAIRS_KEPT = 2_000_000
 _NEVER = 1 << 62
 
@@ -65,7 +66,7 @@ class ByteBpe:
         self.split = regex.compile(PATTERN).findall
         self.split_plain = re.compile(PLAIN_PATTERN).findall
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.words: dict[str, tuple[int, str, bytes]] = {}
+        self.words = Remembered(300_000_000, entry=400, letter=8)
         self.whole: dict[int, bool] = {}
         self.pair_codes = np.empty(0, np.int64)
         self.pair_fits = np.empty(0, bool)
@@ -73,6 +74,8 @@ class ByteBpe:
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: the lowest rank first, leftmost among equals."""
         ids = [self.id_of_byte[c] for c in word]
+        if len(ids) > 64:
+            return self._merge_long(ids)
         get = self.rank.get
         ranks = [get(a << 20 | b, _NEVER) for a, b in zip(ids, ids[1:])]
         while ranks and (best := min(ranks)) != _NEVER:
@@ -85,6 +88,27 @@ class ByteBpe:
                 ranks[i] = get(ids[i] << 20 | ids[i + 1], _NEVER)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same merges from a heap of ranks and places over a linked list."""
+        get, n = self.rank.get, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := get(ids[i] << 20 | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            best, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or get(ids[i] << 20 | ids[j]) != best:
+                continue  # one of the pair was merged since
+            ids[i], ids[j] = best & 0xFFFFF, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := get(ids[i] << 20 | ids[k])) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := get(ids[h] << 20 | ids[i])) is not None:
+                heapq.heappush(heap, (r, h))
+        return [x for x in ids if x >= 0]
+
     def propose(self, word: bytes) -> list[int]:
         if (one := self.id_of.get(word)) is not None:
             return [one]
@@ -159,33 +183,19 @@ class ByteBpe:
                 batch.append(self.parts(texts[at] or ""))
                 size += len(texts[at] or "")
                 at += 1
-            known = self.words
+            known = self.words.known
             new = {w for x in batch for w in x if w not in known}
             marks = {w for w in new if w[0] == "\0" and w[1:] in self.special}
             learnt = self.learn(new - marks) if new - marks else {}
             learnt |= {w: (1, str(self.special[w[1:]]), w[1:].encode()) for w in marks}
-            if len(known) < WORDS_KEPT:
-                known |= learnt
-                learnt = known
-            else:
-                learnt = _Both(learnt, known)
+            get = known.get
             for x in batch:
-                sizes, ids, raw = zip(*[learnt[w] for w in x]) if x else ((), (), ())
+                sizes, ids, raw = zip(*[get(w) or learnt[w] for w in x]) if x else ((), (), ())
                 rows.append((sum(sizes), ",".join(ids), b"".join(raw).decode("utf-8", "replace")))
+            self.words.keep(learnt)
         return rows
 
 
-class _Both(dict):
-    """Words of this batch only, over the remembered ones."""
-
-    def __init__(self, own: dict, rest: dict):
-        super().__init__(own)
-        self.rest = rest
-
-    def __missing__(self, word: str) -> tuple[int, str, bytes]:
-        return self.rest[word]
-
-
 _LOADED: dict[str, ByteBpe] = {}
 
 

@@ -57,31 +57,33 @@ def discard(spark: SparkSession, *tables: DataFrame | str | None) -> None:
 class Remembered:
     """Answers of a Python worker by word, bounded by bytes; what is forgotten is asked for again, so results don't depend on it.
 
-    A word is kept from its second sighting on (a table of marks remembers the first, and may take one word for
+    Once half full, a word is kept from its second sighting on (a table of marks remembers the first, and may take one word for
     another, which only keeps a word early); words over LONGEST characters are not kept. Beyond the bound the older half goes.
     """
 
-    ENTRY, LETTER, LONGEST = 180, 6, 256  # bytes of a key, its value and their place: fixed, and at most for each character
+    LONGEST = 256
 
-    def __init__(self, limit: int = 48_000_000, marks: int = 1 << 22):
+    def __init__(self, limit: int = 48_000_000, marks: int = 1 << 22, entry: int = 180, letter: int = 6):
+        """entry and letter: bytes of a key, its value and their place, fixed and for each character."""
         self.known: dict = {}
+        self.entry, self.letter = entry, letter
         self.limit, self.size, self.marks, self.first = limit, 0, bytearray(marks), 0
 
     def _bytes(self) -> int:
-        return self.ENTRY * len(self.known) + self.LETTER * sum(map(len, self.known))
+        return self.entry * len(self.known) + self.letter * sum(map(len, self.known))
 
     def keep(self, found: dict) -> None:
         """Keep the answers of found that were met before."""
-        known, marks, mask, before, letters = self.known, self.marks, len(self.marks) - 1, len(self.known), 0
+        known, marks, mask, before, letters, open_ = self.known, self.marks, len(self.marks) - 1, len(self.known), 0, 2 * self.size < self.limit
         for word, answer in found.items():
             at = hash(word) & mask
-            if not marks[at]:
+            if not marks[at] and not open_:
                 marks[at] = 1
             elif len(word) <= self.LONGEST:
                 known[word] = answer
                 letters += len(word)
         self.first += len(found) - len(known) + before
-        self.size += self.ENTRY * (len(known) - before) + self.LETTER * letters
+        self.size += self.entry * (len(known) - before) + self.letter * letters
         if self.first > len(marks) // 4:
             self.marks, self.first = bytearray(len(marks)), 0
         if self.size > self.limit:
