@@ -8,7 +8,7 @@ PRIORITY = {"EMAIL_ADDRESS": 1, "CREDIT_CARD": 2, "IP_ADDRESS": 3, "PHONE_NUMBER
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PHONE = r"(?:\+?\d{1,3}[\s-]?)?\(?\d{2,5}\)?[\s-]?\d{3,5}[\s-]?\d{3,5}\b"
 IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
-IPV6 = r"(?<![:.\w])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![:\w])"
+IPV6 = r"(?<![0-9a-fA-F:])(?:[0-9a-fA-F]{1,4}:){1,7}[0-9a-fA-F]{1,4}(?![0-9a-fA-F:])|(?<![0-9a-fA-F:])(?:[0-9a-fA-F]{1,4}:)*::?(?:[0-9a-fA-F]{1,4}:)*[0-9a-fA-F]{1,4}(?![0-9a-fA-F:])"
 CARD = r"\b(?:\d[ -]*?){13,19}\b"
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
 DOB_KEYWORD = r"(?i)\b(?:dob|date\s+of\s+birth|born\s+on|birth\s*date|age[:\s])\b"
@@ -17,6 +17,11 @@ DATE = rf"(?i)\b(?:\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}|\d{{4}}[/-]\d{{1,2}}[/-]\
 ADDRESS_KEYWORD = r"(?i)\b(?:street|road|avenue|blvd|lane|plot|flat|house|building|suite|apartment|nagar|colony|marg|pin|zip|postal\s+code|po\s+box|district|state|andhra\s+pradesh|maharashtra|karnataka|delhi|mumbai|bangalore)\b"
 ADDRESS = r"(?i)\b(?:\d{1,4}[,\s]+)?(?:[A-Z][a-z0-9\.]+[,\s]+){1,5}(?:Street|Road|Avenue|Lane|Nagar|Colony|Marg|District|State|Prakasam|Andhra Pradesh|Karnataka|Maharashtra|Delhi)(?:[,\s]+\d{5,6})?\b"
 ORGANIZATION = r"(?i)\b[A-Z][A-Za-z0-9&\s]{1,40}\s+(?:Pvt\.?\s*Ltd\.?|Ltd\.?|Inc\.?|Corp\.?|Corporation|LLP|LLC|Labs|Technologies|Services)\b"
+#: Persons after a cue word; this engine's own rule, where no entity model is plugged in.
+CUE_PERSON = r"\b(?:by|Contact|contact|and|Dr\.|Mr\.|Ms\.|Mrs\.) [A-Z][a-z]+ [A-Z][a-z]+\b"
+NAME = "[A-Z][a-z]+ [A-Z][a-z]+$"
+#: What a text must hold for a pattern to hit it; cheaper to look for than the pattern.
+ORGANIZATION_HINT = r"(?i)ltd|inc|corp|llp|llc|labs|technologies|services"
 HEADINGS = "assignment:|assignment|background|task|deliverables|evaluation criteria|time to complete|recall:|precision:|code quality:|communication:|company|issuer|applicant|prospectus|red herring prospectus|order|ticket"
 
 # Words that are no entity by themselves.

@@ -16,21 +16,46 @@ def unicode_pattern(pattern: str) -> str:
     return "(?U)" + pattern
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, text>> of the non-overlapping matches; empty for null text."""
+_PLACES = "cast(array() as array<struct<start:int,end:int,text:string>>)"
+#: Matches whose offsets are summed at once: a text of k matches takes about k * BLOCK steps, not k * k.
+BLOCK = 64
+
+
+def matches(text: Column, pattern: str, hint: Column | None = None) -> Column:
+    """array<struct<start, end, text>> of the non-overlapping matches; empty for null text.
+
+    Offsets are summed in blocks, then the blocks' own offsets. hint is a cheaper condition that every text with a match meets.
+    """
     text = F.coalesce(text, F.lit(""))
     rx = unicode_pattern(pattern)
-    found, gaps = F.regexp_extract_all(text, F.lit(rx), F.lit(0)), F.split(text, rx, -1)
-    lengths = F.transform(found, lambda m, i: F.struct(F.length(m).alias("n"), F.length(F.get(gaps, i)).alias("gap"), m.alias("m")))
-    walked = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["n"]).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["n"]).alias("end"), x["m"].alias("text"))).alias("out"),
-        ),
-    )["out"]
-    return F.when(text.rlike(rx), walked).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)"))
+    def walk(part: Column) -> Column:
+        return F.aggregate(
+            part,
+            F.struct(F.lit(0).alias("at"), F.expr(_PLACES).alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["gap"] + x["n"]).alias("at"),
+                F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["n"]).alias("end"), x["m"].alias("text"))).alias("out"),
+            ),
+        )
+
+    def join(blocks: Column) -> Column:
+        whole = F.aggregate(
+            blocks,
+            F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{_PLACES[16:-1]}>)").alias("out")),
+            lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.array_append(acc["out"], F.transform(b["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["text"].alias("text")))).alias("out")),
+        )
+        return F.flatten(whole["out"])
+
+    def places(found: Column, gaps: Column) -> Column:
+        lengths = F.slice(F.zip_with(found, gaps, lambda m, g: F.struct(F.length(m).alias("n"), F.length(g).alias("gap"), m.alias("m"))), F.lit(1), F.size(found))
+        first = F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)), F.lit(BLOCK))
+        blocks = F.transform(F.array(lengths), lambda every: F.transform(first, lambda i: walk(F.slice(every, i, F.lit(BLOCK)))))
+        return F.when(F.size(found) <= BLOCK, walk(lengths)["out"]).otherwise(join(F.flatten(blocks)))
+
+    # Both regular-expression passes are bound as the only element of an array, so that no use repeats them.
+    passes = F.array(F.struct(F.regexp_extract_all(text, F.lit(rx), F.lit(0)).alias("m"), F.split(text, rx, -1).alias("g")))
+    hit = text.rlike(rx) if hint is None else hint & text.rlike(rx)
+    return F.when(hit, F.get(F.transform(passes, lambda p: places(p["m"], p["g"])), F.lit(0))).otherwise(F.expr(_PLACES))
 
 
 def right_trimmed(spans: Column, chars: str) -> Column:

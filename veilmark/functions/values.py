@@ -16,15 +16,20 @@ STEMS = "Amberline Bluecrest Copperfield Dovetail Emberstone Fernhill Goldleaf H
 MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 
 
+def stripped(value: Column) -> Column:
+    """value without white space at its ends."""
+    return F.regexp_replace(value, "(?U)^\\s+|\\s+$", "")
+
+
 def normalized(value: Column, entity: Column) -> Column:
     """The key of a value: spaces collapsed for persons, digits with the leading plus for phones, lower case."""
-    bare = F.trim(value)
+    bare = stripped(value)
     plus = F.when(bare.startswith("+"), F.lit("+")).otherwise(F.lit(""))
-    return F.when(entity == "PERSON", F.lower(F.regexp_replace(bare, "\\s+", " "))).when(entity == "PHONE_NUMBER", F.concat(plus, F.regexp_replace(bare, "[^0-9]", ""))).otherwise(F.lower(bare))
+    return F.when(entity == "PERSON", F.lower(F.regexp_replace(bare, "(?U)\\s+", " "))).when(entity == "PHONE_NUMBER", F.concat(plus, F.regexp_replace(bare, "[^0-9]", ""))).otherwise(F.lower(bare))
 
 
 def seed_hash(key: Column, entity: Column) -> Column:
-    return F.sha2(F.concat(F.lower(F.trim(key)), F.lit(":"), entity), 256)
+    return F.sha2(F.concat(F.lower(stripped(key)), F.lit(":"), entity), 256)
 
 
 def seed(hashed: Column, part: int = 0) -> Column:

@@ -20,17 +20,24 @@ def exact_matches(truth: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def category_metrics(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """One row a category, zero-filled: counts, precision, recall, F1 and exact-match ratio rounded to 4."""
-    spark = truth.sparkSession
-    dim = spark.createDataFrame([(c,) for c in CATEGORIES], "entity_type string")
-    count = lambda rows, name: rows.groupBy("entity_type").agg(F.count("*").alias(name))
-    out = dim
-    for rows, name in ((truth, "gt"), (predicted, "pred"), (exact_matches(truth, predicted), "tp")):
-        out = out.join(count(rows, name), "entity_type", "left")
-    out = out.fillna(0).withColumn("fp", F.col("pred") - F.col("tp")).withColumn("fn", F.col("gt") - F.col("tp"))
+    """One row a category, zero-filled: counts, precision, recall, F1 and exact-match ratio rounded to 4.
+
+    One grouped pass over both sides: of a whole key as many rows match as the smaller side has.
+    """
+    dim = truth.sparkSession.createDataFrame([(c,) for c in CATEGORIES], "entity_type string")
+    both = truth.select(*KEY, F.lit(1).alias("g"), F.lit(0).alias("p")).unionByName(predicted.select(*KEY, F.lit(0).alias("g"), F.lit(1).alias("p")))
+    each = both.groupBy(*KEY).agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
+    sums = each.groupBy("entity_type").agg(F.sum("g").alias("gt"), F.sum("p").alias("pred"), F.sum(F.least("g", "p")).alias("tp"))
+    out = dim.join(F.broadcast(sums), "entity_type", "left").fillna(0).withColumn("fp", F.col("pred") - F.col("tp")).withColumn("fn", F.col("gt") - F.col("tp"))
     return with_ratios(out)
 
 
+def error_maps(metrics: DataFrame) -> DataFrame:
+    """One row: fp_by_category and fn_by_category, of categories with any, as maps."""
+    some = lambda name: F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col(name) > 0, F.struct("entity_type", name)))))
+    return metrics.agg(some("fp").alias("fp_by_category"), some("fn").alias("fn_by_category"))
+
+
 def with_ratios(rows: DataFrame) -> DataFrame:
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")

@@ -28,6 +28,39 @@ def redact(paragraphs: DataFrame, detections: DataFrame, mapping: DataFrame) ->
     return both.select("doc_id", "paragraph_index", changed.alias("redacted_text"), F.coalesce(F.size("edits"), F.lit(0)).alias("applied"))
 
 
+def redact_annotated(annotated: DataFrame, mapping: DataFrame) -> DataFrame:
+    """As redact, from paragraphs with their spans: only edited paragraphs are joined, and the texts of the others don't move."""
+    key = ["doc_id", "paragraph_index"]
+    some = F.size("spans") > 0
+    edits = tasks(annotated.where(some).select(*key, F.inline("spans")), mapping).groupBy(*key).agg(F.collect_list(F.struct("start", "end", "replacement")).alias("edits"))
+    edited = annotated.where(some).select(*key, "text").join(edits, key, "left")
+    edited = edited.select(*key, F.when(F.col("edits").isNull(), F.col("text")).otherwise(rewritten(F.col("text"), F.col("edits"))).alias("redacted_text"), F.coalesce(F.size("edits"), F.lit(0)).alias("applied"))
+    return edited.unionByName(annotated.where(~F.coalesce(some, F.lit(False))).select(*key, F.col("text").alias("redacted_text"), F.lit(0).alias("applied")))
+
+
+def rewritten_fields(fields: DataFrame, mapping: DataFrame) -> DataFrame:
+    """fields(doc_id, ..., instruction) with new_instruction: every original of three characters or more replaced, in the order of creation.
+
+    The replacements are literal and regardless of case; each works on what the one before left.
+    """
+    wanted = mapping.where(F.length(F.trim("original")) >= 3).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("creation_index", F.trim("original").alias("needle"), F.trim("replacement").alias("value")))).alias("m"))
+    both = fields.join(wanted, "doc_id", "left")
+    swap = lambda t, m: F.regexp_replace(t, F.concat(F.lit("(?iu)"), quoted(m["needle"])), F.regexp_replace(m["value"], r"([\\$])", r"\\$1"))
+    new = F.aggregate(F.coalesce("m", F.expr("cast(array() as array<struct<creation_index:int,needle:string,value:string>>)")), F.col("instruction"), lambda t, m: F.when(F.contains(F.lower(t), F.lower(m["needle"])), swap(t, m)).otherwise(t))
+    return both.withColumn("new_instruction", new).drop("m")
+
+
+def quoted(text: Column) -> Column:
+    """A pattern that matches text literally."""
+    return F.regexp_replace(text, r"([^\p{L}\p{N}\s])", r"\\$1")
+
+
+def applied_estimate(counts: DataFrame, applied: int | Column) -> DataFrame:
+    """counts(entity_type, n) with estimated, each category's share of the replacements applied, rounded half up."""
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.join(F.broadcast(total)).select("entity_type", "n", F.when(F.col("total") > 0, F.floor(F.col("n") / F.col("total") * applied + 0.5)).otherwise(0).cast("long").alias("estimated"))
+
+
 def searchable(entity: Column, original: Column) -> Column:
     """Originals worth a residual search: long enough and not a generic word."""
     least = F.when(entity.isin("PERSON", "ORGANIZATION", "ADDRESS"), 8).otherwise(4)
