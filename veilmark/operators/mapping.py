@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import validators as V
 from ..functions import values as G
+from ..scratch import held
 
 
 def keyed(detections: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def first_seen(detections: DataFrame) -> DataFrame:
 
     A person named by an email that stands before it is created with that email, just before it.
     """
-    keys = distinct_keys(detections)
+    keys = held(distinct_keys(detections), "keys")
     links = link_persons(keys)
     keys = keys.join(links.withColumn("entity_type", F.lit("EMAIL_ADDRESS")), ["doc_id", "entity_type", "normalized"], "left")
     named = keys.where("person is not null").groupBy("doc_id", F.col("person").alias("normalized")).agg(F.min("at").alias("mail_at")).withColumn("entity_type", F.lit("PERSON"))

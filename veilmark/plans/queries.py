@@ -10,19 +10,30 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import values as G
 from ..operators import detect as D
+from ..operators import document as W
 from ..operators import evaluate as E
 from ..operators import mapping as M
 from ..operators import redact as X
-from ..sources.paragraphs import all_paragraphs, document_paragraphs
+from ..operators import service
+from ..scratch import held
+from ..sources import docx, ground_truth
+from ..sources.paragraphs import all_paragraphs, conversation_paragraphs, document_paragraphs, template_paragraphs
 from ..streaming.files import live
 
-#: Layers whose patterns a second engine can run too; the others have queries of their own.
-SHARED = ["email", "phone", "ip", "card", "ssn", "dob", "address", "organization"]
 SPAN = ["doc_id", "paragraph_index", "entity_type", "start", "end", "text"]
 
 
+def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All paragraphs with their detections, computed once."""
+    return held(D.annotate(all_paragraphs(spark, sf_dir)), "annotated")
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.detect(all_paragraphs(spark, sf_dir), SHARED)
+    return D.detect(all_paragraphs(spark, sf_dir))
+
+
+def _held_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held(detections(spark, sf_dir), "detections")
 
 
 def _layer(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -41,7 +52,7 @@ def blank_filter(spark, sf_dir):
 
 
 def span_trim(spark, sf_dir):
-    return all_paragraphs(spark, sf_dir).select("doc_id", "paragraph_index", F.inline(D.candidates(F.col("text"), SHARED))).select(*SPAN)
+    return all_paragraphs(spark, sf_dir).select("doc_id", "paragraph_index", F.inline(D.candidates(F.col("text")))).select(*SPAN)
 
 
 def resolve_overlaps(spark, sf_dir):
@@ -83,65 +94,106 @@ def _generator(value: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-GENERATORS = {"gen_person": G.person, "gen_email": G.email, "gen_address": G.address, "gen_ssn": G.ssn, "gen_card": G.card, "gen_dob": G.birth_date, "gen_ip": G.ip, "gen_phone": lambda h: G.phone(h, F.lit("+919876543210")), "gen_org": lambda h: G.organization(h, F.lit("acme pvt ltd"))}
+def _phone_keys():
+    return F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("+91"), (9000000000 + F.col("c_custkey")).cast("string"))).when(F.col("c_custkey") % 3 == 1, (7000000000 + F.col("c_custkey")).cast("string")).otherwise(F.concat(F.lit("+1415"), (5550000 + F.col("c_custkey")).cast("string")))
 
 
-def entity_map(spark, sf_dir):
-    return M.entity_map(detections(spark, sf_dir))
+def _org_keys():
+    return F.concat(F.lit("apex "), F.element_at(F.array(*map(F.lit, ["technologies pvt ltd", "goods inc.", "partners llp", "labs"])), (F.col("c_custkey") % 4 + 1).cast("int")))
+
+
+GENERATORS = {"gen_person": G.person, "gen_email": G.email, "gen_address": G.address, "gen_ssn": G.ssn, "gen_card": G.card, "gen_dob": G.birth_date, "gen_ip": G.ip, "gen_phone": lambda h: G.phone(h, _phone_keys()), "gen_org": lambda h: G.organization(h, _org_keys())}
 
 
 def collision_rank(spark, sf_dir):
-    return entity_map(spark, sf_dir).where("entity_type in ('EMAIL_ADDRESS', 'SSN', 'IP_ADDRESS', 'ADDRESS', 'CREDIT_CARD', 'DATE_OF_BIRTH')").select("doc_id", "entity_type", "normalized", "candidate", "collision_rank")
+    return M.entity_map(detections(spark, sf_dir)).select("doc_id", "entity_type", "normalized", "candidate", "collision_rank")
 
 
 def map_unique(spark, sf_dir):
-    return entity_map(spark, sf_dir).groupBy("entity_type").agg(F.count("*").alias("entities"), F.count_distinct("doc_id", "replacement").alias("replacements"), F.count_if(M.safe(F.col("entity_type"), F.col("replacement"), F.col("original"))).alias("safe"))
+    keys = M.entity_map(detections(spark, sf_dir))
+    return keys.groupBy("entity_type").agg(F.count("*").alias("entities"), F.count_distinct("doc_id", "replacement").alias("replacements"), F.count_if(M.safe(F.col("entity_type"), F.col("replacement"), F.col("original"))).alias("safe"))
+
+
+def entity_map(spark, sf_dir):
+    return M.entity_map(detections(spark, sf_dir)).select("doc_id", "entity_type", "normalized", "original", "seed_hash", "person", "creation_index", "replacement")
+
+
+def replacement_safety(spark, sf_dir):
+    """Verdicts on replacements of every customer's name: equal, empty, with and without a token of it, and well-formed values of other categories."""
+    kind = F.col("c_custkey") % 6
+    pick = lambda *values: F.element_at(F.array(*values), (kind + 1).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        "c_custkey",
+        F.concat(F.lit("Stone "), "c_custkey", F.lit(" Labs")).alias("original"),
+        pick(*map(F.lit, ["ORGANIZATION", "ORGANIZATION", "PERSON", "ORGANIZATION", "CREDIT_CARD", "EMAIL_ADDRESS"])).alias("entity_type"),
+        pick(F.concat(F.lit("STONE "), "c_custkey", F.lit(" LABS")), F.lit(" "), F.lit("Ada Stone"), F.lit("Fernhill Labs"), F.lit("4111 1111 1111 1112"), F.lit("a@example.test")).alias("value"),
+    )
+    return rows.select("c_custkey", M.safe(F.col("entity_type"), F.col("value"), F.col("original")).alias("safe"))
 
 
 def detect_map_join(spark, sf_dir):
-    found = detections(spark, sf_dir)
+    found = _held_detections(spark, sf_dir)
     return X.tasks(found, M.entity_map(found)).groupBy("doc_id", "entity_type").agg(F.count("*").alias("tasks"), F.count_distinct("replacement").alias("values"))
 
 
-def _redacted(spark, sf_dir):
-    found, texts = detections(spark, sf_dir), all_paragraphs(spark, sf_dir)
-    mapping = M.entity_map(found)
-    return X.redact(texts, found, mapping), mapping
+def redact_text(spark, sf_dir):
+    rows = annotated(spark, sf_dir)
+    return X.redact_annotated(rows, M.entity_map(D.exploded(rows)))
 
 
-def redact_text(spark, sf_dir):
-    return _redacted(spark, sf_dir)[0]
+def _masked(spark, sf_dir):
+    """(masked paragraphs, keys): each detection replaced by its category in angle brackets."""
+    rows = annotated(spark, sf_dir)
+    keys = held(M.distinct_keys(D.exploded(rows)), "keys")
+    return X.redact_annotated(rows, keys.withColumn("replacement", F.concat(F.lit("<"), "entity_type", F.lit(">")))), keys, rows
 
 
 def mask_text(spark, sf_dir):
-    """Paragraphs with each detection replaced by its category in angle brackets."""
-    found, texts = detections(spark, sf_dir), all_paragraphs(spark, sf_dir)
-    mapping = M.first_seen(found).withColumn("replacement", F.concat(F.lit("<"), "entity_type", F.lit(">")))
-    return X.redact(texts, found, mapping).where("applied > 0")
+    return _masked(spark, sf_dir)[0].where("applied > 0")
 
 
 def applied_counts(spark, sf_dir):
-    return redact_text(spark, sf_dir).agg(F.sum("applied").cast("long").alias("applied"), F.count_if(F.col("applied") > 0).alias("paragraphs"))
+    rows = annotated(spark, sf_dir)
+    done = X.redact_annotated(rows, M.first_seen(D.exploded(rows)).withColumn("replacement", F.lit("x"))).agg(F.sum("applied").cast("long").alias("applied"), F.count_if(F.col("applied") > 0).alias("paragraphs"))
+    found = rows.agg(F.sum(F.size("spans")).cast("long").alias("found"))
+    return done.join(F.broadcast(found)).select("applied", "paragraphs", (F.col("applied") == F.col("found")).alias("consistent"))
 
 
 def residual_semi(spark, sf_dir):
-    redacted, mapping = _redacted(spark, sf_dir)
-    return X.residual(redacted, mapping)
+    """Originals left in a text of which every third document was not masked."""
+    masked, keys, rows = _masked(spark, sf_dir)
+    planted = masked.where("doc_id % 3 <> 0").select("doc_id", "redacted_text").unionByName(rows.where("doc_id % 3 = 0").select("doc_id", F.col("text").alias("redacted_text")))
+    return X.residual(planted, keys)
 
 
-def _links(spark, sf_dir):
-    found = detections(spark, sf_dir).where("entity_type = 'EMAIL_ADDRESS'")
-    return found.select("doc_id", F.concat(F.lit("mailto:"), F.upper("text"), F.lit("?subject=x")).alias("target")).distinct()
+def rel_left_join(spark, sf_dir):
+    """Every link of the pages with its target, where every third link has none."""
+    links = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("n", "href"))
+    links = links.withColumn("rel_id", F.concat(F.lit("rId"), F.col("n").cast("string")))
+    known = links.where("n % 3 <> 2").select("doc_id", "rel_id", F.col("href").alias("target"), F.lit("Internal").alias("target_mode"), F.lit("page").alias("type"))
+    return docx.link_targets(links.select("doc_id", "rel_id"), known)
 
 
 def rel_rewrite(spark, sf_dir):
-    return X.rewrite_links(_links(spark, sf_dir), entity_map(spark, sf_dir))
+    """Link targets made of every email and person: mail addresses with a query, and pages about a person."""
+    found = _held_detections(spark, sf_dir)
+    mails = found.where("entity_type = 'EMAIL_ADDRESS'").select("doc_id", F.concat(F.lit("mailto:"), F.upper("text"), F.lit("?subject=x")).alias("target"))
+    people = found.where("entity_type = 'PERSON'").select("doc_id", F.concat(F.lit("https://people.example/"), F.upper("text"), F.lit("/cv")).alias("target"))
+    return X.rewrite_links(mails.unionByName(people).distinct(), M.entity_map(found))
+
+
+def field_rewrite(spark, sf_dir):
+    """Field instructions that hold the paragraph's detections in capitals, rewritten by all of the document's originals."""
+    rows = annotated(spark, sf_dir)
+    found = D.exploded(rows)
+    fields = rows.where(F.size("spans") > 0).select("doc_id", "paragraph_index", F.concat(F.lit(" HYPERLINK "), F.upper(F.array_join(F.transform("spans", lambda s: s["text"]), " | "))).alias("instruction"))
+    return X.rewritten_fields(fields, M.entity_map(found)).select("doc_id", "paragraph_index", "new_instruction")
 
 
 def _truth(spark, sf_dir):
     """Predictions, and a ground truth derived from them: some rows dropped, shifted or relabelled."""
     at = (F.col("doc_id") * 1000000 + F.col("paragraph_index")) * 10000 + F.col("start")
-    pred = detections(spark, sf_dir).select("doc_id", "paragraph_index", "entity_type", "start", "end", at.alias("pred_id"), F.pmod(F.col("doc_id") * 31 + F.col("paragraph_index") * 7 + F.col("start"), F.lit(10)).alias("k"))
+    pred = _held_detections(spark, sf_dir).select("doc_id", "paragraph_index", "entity_type", "start", "end", at.alias("pred_id"), F.pmod(F.col("doc_id") * 31 + F.col("paragraph_index") * 7 + F.col("start"), F.lit(10)).alias("k"))
     gt = pred.where("k <> 0").select("doc_id", "paragraph_index", F.when(F.col("k") == 2, "PERSON").otherwise(F.col("entity_type")).alias("entity_type"), "start", (F.col("end") + F.when(F.col("k") == 1, 1).otherwise(0)).alias("end"), F.col("pred_id").alias("gt_id"))
     return gt, pred.drop("k")
 
@@ -155,7 +207,31 @@ def category_metrics(spark, sf_dir):
 
 
 def micro_macro(spark, sf_dir):
-    return E.micro_macro(category_metrics(spark, sf_dir))
+    return E.micro_macro(held(category_metrics(spark, sf_dir), "metrics"))
+
+
+def fp_fn_maps(spark, sf_dir):
+    maps = E.error_maps(category_metrics(spark, sf_dir))
+    each = lambda side: maps.select(F.lit(side).alias("side"), F.explode(f"{side}_by_category").alias("entity_type", "n"))
+    return each("fp").unionByName(each("fn"))
+
+
+def replaced_estimate(spark, sf_dir):
+    """Each category's share of a thousand replacements."""
+    return X.applied_estimate(held(counts_present(spark, sf_dir), "counts"), F.lit(1000))
+
+
+def gt_bounds(spark, sf_dir):
+    """Annotations shifted past both ends of some paragraphs, and whether they still hold."""
+    rows = document_paragraphs(spark, sf_dir)
+    start, end = (F.col("paragraph_index") % 4 - 1).cast("int"), (F.col("paragraph_index") % 50).cast("int")
+    return rows.groupBy("doc_id").agg(F.count_if(ground_truth.in_bounds(start, end, F.col("text"))).alias("inside"), F.count("*").alias("annotations"))
+
+
+def gt_lookup(spark, sf_dir):
+    known = ground_truth.registry(spark, {f"{k}.html": f"truth/{k}.json" for k in range(0, 100, 7)})
+    files = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("in/Redacted_"), (F.col("page_id") % 100).cast("string"), F.lit(".HTML")).alias("doc_id"), "page_id")
+    return ground_truth.lookup(files, known).select("page_id", "truth_path")
 
 
 def error_mismatch(spark, sf_dir):
@@ -167,12 +243,17 @@ def error_fp_anti(spark, sf_dir):
 
 
 def audit_projection(spark, sf_dir):
-    return detections(spark, sf_dir).select(F.col("entity_type").alias("category"), "paragraph_index", "recognizer")
+    rows = all_paragraphs(spark, sf_dir).withColumn("region", F.when(F.col("doc_id") >= 10000000, "table").otherwise("body"))
+    found = D.annotate(rows).where(F.size("spans") > 0).select("paragraph_index", "region", F.inline("spans"))
+    return found.select(F.col("entity_type").alias("category"), "paragraph_index", F.col("region").alias("location_type"), "recognizer")
 
 
 def file_gate(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").alias("path"), F.octet_length("html").cast("long").alias("length"))
-    return pages.select("page_id", F.when(~F.lower("path").rlike("/[a-z]{2}/[0-9]+$"), 400).when(F.col("length") > 8000, 413).when(F.col("length") == 0, 400).otherwise(200).alias("status"))
+    """Pages as uploads of up to 3,000 bytes: some with another name, some empty, some in another container."""
+    k = F.col("page_id") % 5
+    content = F.when(k == 1, F.lit("")).when(k == 2, F.col("html")).otherwise(F.concat(F.lit("PK\x03\x04"), F.coalesce("html", F.lit(""))))
+    files = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat("url", F.when(k == 3, ".doc").otherwise(".DocX")).alias("path"), F.encode(content, "UTF-8").alias("content"))
+    return docx.gate(files.withColumn("length", F.octet_length("content")), 3000).select("page_id", "status")
 
 
 def content_sha(spark, sf_dir):
@@ -185,9 +266,25 @@ def ttl_filter(spark, sf_dir):
 
 
 def filename_sanitize(spark, sf_dir):
-    url = F.col("url")
-    clean = F.when(url.rlike(r"\.\.|[/\\]"), F.regexp_replace(url, "[^A-Za-z0-9._-]", "_")).otherwise(url)
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", clean.alias("name"), F.concat(F.lit("redacted_"), F.element_at(F.split(url, "/"), -1)).alias("safe_name"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", W.safe_name(F.col("url")).alias("name"), W.output_name(F.col("url")).alias("safe_name"))
+
+
+def token_format(spark, sf_dir):
+    """Download tokens made of hashes, some too short, some with other letters."""
+    h = F.md5(F.col("c_name"))
+    dashed = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    token = F.when(F.col("c_custkey") % 3 == 0, F.upper(dashed)).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("../"), F.substring(dashed, 4, 33))).otherwise(h)
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", service.token_format(token).alias("good"))
+
+
+def display_forms(spark, sf_dir):
+    """Display forms of every order's numbers."""
+    total = F.col("o_orderkey") * 977
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", service.display_bytes(total).alias("size"), service.display_percent(F.when(F.col("o_orderkey") % 7 > 0, (F.col("o_orderkey") % 1000) / 1024)).alias("share"))
+
+
+def error_map(spark, sf_dir):
+    return spark.createDataFrame([(s,) for s in (200, 400, 404, 413, 422, 500)], "status int").select("status", service.error_response(F.col("status")).alias("body"))
 
 
 def _runs(spark, sf_dir):
@@ -198,42 +295,116 @@ def _runs(spark, sf_dir):
 
 
 def run_offsets(spark, sf_dir):
-    return _runs(spark, sf_dir).select("doc_id", "paragraph_index", F.inline("runs"))
+    """Words and the white space between them as runs of their own lengths."""
+    runs = docx.run_offsets(F.regexp_extract_all("text", F.lit(r"[^ ]+|[ ]+"), F.lit(0)))
+    return all_paragraphs(spark, sf_dir).select("doc_id", "paragraph_index", F.inline(runs)).select("doc_id", "paragraph_index", "run_index", "start_offset", "end_offset")
 
 
 def span_to_runs(spark, sf_dir):
     rows = _runs(spark, sf_dir)
-    found = rows.select("doc_id", "paragraph_index", "runs", F.inline(D.resolved(D.candidates(F.col("text"), SHARED))))
+    found = rows.select("doc_id", "paragraph_index", "runs", F.inline(D.resolved(D.candidates(F.col("text")))))
     hit = D.run_indices(F.col("runs"), F.col("start"), F.col("end"))
     return found.select("doc_id", "paragraph_index", "start", F.element_at(hit, 1).alias("first_run"), F.size(hit).alias("runs"))
 
 
+def _as_documents(paragraphs: DataFrame) -> DataFrame:
+    """One document of each doc_id, its paragraphs cut into runs of ten characters with changing formats."""
+    k = lambda i, n: i % n == 0
+    run = lambda i: F.struct(F.substring("text", i * 10 + 1, F.lit(10)).alias("text"), k(i, 2).alias("bold"), k(i, 3).alias("italic"), k(i, 5).alias("underline"), F.when(k(i, 7), "FF0000").alias("color"))
+    pieces = F.when(F.length("text") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 10).cast("int")), run)).otherwise(F.array())
+    return docx.documents_of(paragraphs.select("doc_id", "paragraph_index", pieces.alias("runs")))
+
+
+def docx_scan(spark, sf_dir):
+    """Every document written as a Word document and read again."""
+    rows = docx.scan_files(_as_documents(document_paragraphs(spark, sf_dir)))
+    return rows.select(F.col("doc_id").cast("long"), "paragraph_index", "text")
+
+
 def format_stats(spark, sf_dir):
-    return all_paragraphs(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.max(F.length("text")).alias("longest"), F.count_if(D.heading(F.col("text"))).alias("headings"))
+    rows = docx.structure(docx.scan_files(_as_documents(document_paragraphs(spark, sf_dir))))
+    return rows.select(F.col("doc_id").cast("long"), "paragraphs", "runs", "bold", "italic", "underline", "coloured")
+
+
+def docx_roundtrip(spark, sf_dir):
+    """The template paragraphs as Word documents of split runs, redacted from file to file and read again."""
+    tables = W.redacted(held(_as_documents(template_paragraphs(spark, sf_dir)), "docx-made"))
+    rows = docx.scan_files(tables["files"].select("doc_id", "content", F.lit(200).alias("status")))
+    return rows.select(F.col("doc_id").cast("long"), "paragraph_index", F.col("text").alias("redacted_text"))
+
+
+def docx_checks(spark, sf_dir):
+    """What the redacted files' validation says of each."""
+    rows = W.redacted(held(_as_documents(template_paragraphs(spark, sf_dir)), "docx-made"))["files"]
+    return rows.select(F.col("doc_id").cast("long"), "applied", "links", "fields", "valid", "residual")
+
+
+def para_numbering(spark, sf_dir):
+    return conversation_paragraphs(spark, sf_dir)
 
 
 def ip_version_filter(spark, sf_dir):
-    rows = all_paragraphs(spark, sf_dir).where("contains(text, 'version')")
-    return rows.select("doc_id", "paragraph_index", F.size(D.ips(F.col("text"))).alias("kept"))
+    """Paragraphs with anything of the form of an IPv4 address, and how many of them are addresses and no version."""
+    rows = all_paragraphs(spark, sf_dir).where(F.col("text").rlike(P.IPV4))
+    return rows.select("doc_id", "paragraph_index", F.size(D.ipv4s(F.col("text"))).alias("kept"))
+
+
+def ipv6_spans(spark, sf_dir):
+    return all_paragraphs(spark, sf_dir).select("doc_id", "paragraph_index", F.inline(D.ipv6s(F.col("text"))))
+
+
+def ipv4_spans(spark, sf_dir):
+    return all_paragraphs(spark, sf_dir).select("doc_id", "paragraph_index", F.inline(D.ipv4s(F.col("text"))))
+
+
+def phone_candidates(spark, sf_dir):
+    return all_paragraphs(spark, sf_dir).select("doc_id", "paragraph_index", F.inline(D.phone_candidates(F.col("text"))))
+
+
+def candidate_union(spark, sf_dir):
+    """Candidates of all layers before trimming, one row each."""
+    every = F.concat(*[f(F.col("text")) for f in D.LAYERS.values()])
+    return all_paragraphs(spark, sf_dir).where(D.not_blank(F.col("text"))).select("doc_id", "paragraph_index", F.inline(every)).select(*SPAN, "recognizer")
+
+
+def candidate_order(spark, sf_dir):
+    """The place of each candidate in its paragraph's order of precedence."""
+    rows = all_paragraphs(spark, sf_dir).select("doc_id", "paragraph_index", D.candidates(F.col("text")).alias("c")).where(F.size("c") > 0)
+    return rows.select("doc_id", "paragraph_index", F.posexplode(D.in_order(F.col("c"))).alias("place", "s")).select("doc_id", "paragraph_index", "place", "s.entity_type", "s.start", "s.end")
 
 
 def detect_all(spark, sf_dir):
-    return D.detect(all_paragraphs(spark, sf_dir)).select(*SPAN, "recognizer")
+    return detections(spark, sf_dir).select(*SPAN, "recognizer")
 
 
 def email_person_link(spark, sf_dir):
-    return M.link_persons(M.first_seen(D.detect(all_paragraphs(spark, sf_dir))))
+    return M.link_persons(held(M.distinct_keys(detections(spark, sf_dir)), "keys"))
 
 
 def ner_spans(spark, sf_dir):
     return _layer("person")(spark, sf_dir)
 
 
+MODEL = {"PERSON": ["Rohan Dey", "Omar Reyes", "Task"], "ORG": ["Apex1", "SSN", "IP"], "GPE": ["India", "Mahatma Gandhi"]}
+
+
+def model_entities(spark, sf_dir):
+    """What the rules keep of the entities that a word-list model finds."""
+    text = F.col("text")
+    return template_paragraphs(spark, sf_dir).select("doc_id", "paragraph_index", F.inline(D.model_entities(D.gazetteer(MODEL)(text), text))).select(*SPAN, "recognizer", "confidence")
+
+
 def service_info(spark, sf_dir):
-    return spark.createDataFrame([(c, P.PRIORITY[c]) for c in P.CATEGORIES], "category string, priority int")
+    info = service.service_info(spark)
+    return info.select("name", "version", "supported_file_type", F.posexplode("pii_categories").alias("place", "category"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    layers = {"email_spans": "email", "phone_valid": "phone", "ipv4_spans": "ip", "card_luhn": "card", "ssn_valid": "ssn", "dob_spans": "dob", "address_spans": "address", "org_suffix_spans": "organization"}
-    named = [para_split, blank_filter, span_trim, resolve_overlaps, counts_present, counts_zero_filled, unique_entities, normalize_keys, seed_hash, creation_index, collision_rank, map_unique, detect_map_join, redact_text, mask_text, applied_counts, residual_semi, rel_rewrite, gt_exact_match, category_metrics, micro_macro, error_mismatch, error_fp_anti, audit_projection, file_gate, content_sha, ttl_filter, filename_sanitize, run_offsets, span_to_runs, format_stats, ip_version_filter, detect_all, email_person_link, ner_spans, service_info]
+    layers = {"email_spans": "email", "phone_valid": "phone", "card_luhn": "card", "ssn_valid": "ssn", "dob_spans": "dob", "address_spans": "address", "org_suffix_spans": "organization"}
+    named = [
+        para_split, para_numbering, blank_filter, span_trim, candidate_union, candidate_order, resolve_overlaps, detect_all, counts_present, counts_zero_filled, unique_entities, normalize_keys, seed_hash, creation_index,
+        ipv4_spans, ipv6_spans, phone_candidates, ner_spans, model_entities, email_person_link, entity_map, collision_rank, map_unique, replacement_safety, detect_map_join, redact_text, mask_text, applied_counts, replaced_estimate, residual_semi,
+        rel_left_join, rel_rewrite, field_rewrite, gt_exact_match, category_metrics, micro_macro, fp_fn_maps, error_mismatch, error_fp_anti, gt_bounds, gt_lookup, audit_projection, file_gate, content_sha, ttl_filter, filename_sanitize,
+        token_format, display_forms, error_map, run_offsets, span_to_runs, format_stats, docx_scan, docx_roundtrip, docx_checks, ip_version_filter, service_info,
+    ]
     return {k: _layer(v) for k, v in layers.items()} | {k: _generator(v) for k, v in GENERATORS.items()} | {f.__name__: f for f in named}
