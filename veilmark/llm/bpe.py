@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, arrow_map
+from .common import Remembered, arrow_map, resident
 
 # Fixed value: the public byte-level pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -196,13 +196,8 @@ class ByteBpe:
         return rows
 
 
-_LOADED: dict[str, ByteBpe] = {}
-
-
 def load(path: str) -> ByteBpe:
-    if path not in _LOADED:
-        _LOADED[path] = ByteBpe(path)
-    return _LOADED[path]
+    return resident(("bpe", path), lambda: ByteBpe(path))
 
 
 def bpe_encode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:

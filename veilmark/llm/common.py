@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,10 @@ from pyspark.sql import functions as F
 #: Ids and other short rows are broadcast up to this many (8 to 24 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
+#: Rows of an Arrow batch while a table is staged.
+BATCH_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _OWN_DIR: dict[str, str] = {}
 
 
@@ -40,12 +46,25 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    with _short_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+@contextmanager
+def _short_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_ROWS while a table is written: whole texts make long rows, held in the JVM and in Python at once."""
+    before = spark.conf.get(_BATCH)
+    if int(before) > BATCH_ROWS or int(before) <= 0:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def discard(spark: SparkSession, *tables: DataFrame | str | None) -> None:
     """Delete staged tables (or scratch paths) that nothing reads any more."""
     for table in tables:
@@ -54,6 +73,28 @@ def discard(spark: SparkSession, *tables: DataFrame | str | None) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_RESIDENT: dict = {}
+_LIBC = ctypes.CDLL(None)
+
+
+def _give_back() -> None:
+    """Return freed memory of a Python worker to the system."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def resident(key: object, make: Callable[[], object]):
+    """What a Python worker keeps from batch to batch; an operator's object drops that of the operator before, and its memory goes back."""
+    if key not in _RESIDENT:
+        if _RESIDENT:
+            _RESIDENT.clear()
+            gc.collect()
+            _give_back()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 class Remembered:
     """Answers of a Python worker by word, bounded by bytes; what is forgotten is asked for again, so results don't depend on it.
 
@@ -63,7 +104,7 @@ class Remembered:
 
     LONGEST = 256
 
-    def __init__(self, limit: int = 48_000_000, marks: int = 1 << 22, entry: int = 180, letter: int = 6):
+    def __init__(self, limit: int = 36_000_000, marks: int = 1 << 22, entry: int = 180, letter: int = 6):
         """entry and letter: bytes of a key, its value and their place, fixed and for each character."""
         self.known: dict = {}
         self.entry, self.letter = entry, letter
@@ -114,6 +155,7 @@ def arrow_map(df: DataFrame, rows: Callable[[dict], dict], schema: str, arrow: p
                 part = batch.slice(at, 512)
                 out = rows({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
+        _give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, stage
-from .minhash import _WORDS
+from .minhash import word_hashes
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text a key range stands for.
@@ -39,7 +39,7 @@ RANGE_BYTES = 16_000_000
 def word_codes(text: str | None) -> np.ndarray:
     """64-bit hashes of the words (runs without white space, A-Z lower-cased)."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    return word_hashes(words)
 
 
 def _pack(x: np.ndarray) -> bytes:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, discard, mix64, semi_by_id, small, stage
+from .common import arrow_map, discard, mix64, resident, semi_by_id, small, stage
 from .components import connected_components
 
 SEED = 20240229
@@ -50,7 +50,8 @@ class _WordHashes(dict):
         return value
 
 
-_WORDS = _WordHashes()
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(resident("words", _WordHashes).__getitem__, words), np.uint64, len(words))
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -59,7 +60,7 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n)
+    h = word_hashes(words)
     span = min(n, width)
     acc = np.zeros(n - span + 1, np.uint64)
     for k in range(span):

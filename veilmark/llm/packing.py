@@ -17,6 +17,7 @@ no rows.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Remembered, arrow_map, stage
+from .common import Remembered, arrow_map, resident, stage
 
 _LETTERS = "a-zªµºß-öø-ÿ"
 _NUMBERS = "0-9²³¹¼½¾"
@@ -43,20 +44,33 @@ class WordTokens:
     split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+").findall
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads would keep memory
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.special = sorted(t.content for t in self.library.get_added_tokens_decoder().values())
-        #: The same model for words that are cut and lower-cased already.
-        self.cut = Tokenizer.from_str(self.library.to_str())
+        self.path = path
+        self.whole: Tokenizer | None = None
+        #: The model for words that are cut and lower-cased already.
+        self.cut = Tokenizer.from_file(path)
+        self.special = sorted(t.content for t in self.cut.get_added_tokens_decoder().values())
+        self.cut.no_truncation()
+        self.cut.no_padding()
         self.cut.normalizer = normalizers.Sequence([])
         self.cut.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.library.get_vocab()
+        vocabulary = self.cut.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words = Remembered()
+        self.words = Remembered(64_000_000)
+
+    @property
+    def library(self):
+        """The vocabulary with its own normalisation and splitting, loaded where a text needs them."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+            self.whole.no_truncation()
+            self.whole.no_padding()
+        return self.whole
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -100,13 +114,8 @@ class WordTokens:
         return out
 
 
-_LOADED: dict[str, WordTokens] = {}
-
-
 def _loaded(path: str) -> WordTokens:
-    if path not in _LOADED:
-        _LOADED[path] = WordTokens(path)
-    return _LOADED[path]
+    return resident(("packing", path), lambda: WordTokens(path))
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
